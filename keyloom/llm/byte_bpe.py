@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from keyloom.llm.bpe import PairTable, spans_by_pattern, spans_with_space
+from keyloom.llm.common import schema_with
 from keyloom.llm.vectext import Block, WordCache, blocks, runs
 
 SHIFT = 20
@@ -261,7 +262,7 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[list]:
 
 def encode(df: DataFrame, text: str, path: str, pattern: str, keep: list[str], out: str = "ids") -> DataFrame:
     """``keep`` and, as ``out``, the ids of the whole text: array<int>."""
-    fields = df.select(*keep).schema.add(out, "array<int>")
+    fields = schema_with(df, keep, f"`{out}` array<int>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -279,7 +280,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, keep: list[str], o
 
 def decode(df: DataFrame, ids: str, path: str, pattern: str, keep: list[str], out: str = "decoded") -> DataFrame:
     """``keep`` and, as ``out``, the bytes that the ids stand for."""
-    fields = df.select(*keep).schema.add(out, "binary")
+    fields = schema_with(df, keep, f"`{out}` binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -296,8 +297,6 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, keep: list[str], ou
 def round_trip_digests(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
     """Encode, decode, and digest both, in one pass over the texts: ``key``,
     n_tokens, ids_sha256, decoded_sha256."""
-    kind = df.schema[key].dataType
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -307,7 +306,4 @@ def round_trip_digests(df: DataFrame, key: str, text: str, path: str, pattern: s
                 shas = [[hashlib.sha256(x).hexdigest() for x in made(ids, counts)] for made in (own.digits_block, own.decode_block)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], schema.field(0).type), pa.array(counts, pa.int64()), *map(pa.array, shas)], schema=schema)
 
-    from pyspark.sql.types import LongType, StringType, StructType
-
-    out = StructType().add(key, kind).add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
-    return df.select(key, text).mapInArrow(run, out)
+    return df.select(key, text).mapInArrow(run, schema_with(df, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string"))

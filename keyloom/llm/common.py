@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: One word separator: ASCII white space only.
 SPACE = r"\x20\x09-\x0D"
@@ -49,3 +50,8 @@ def held_out(doc_id: str, folds: int, fold: int):
 def lower_ascii(column):
     """Lower-case A-Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def schema_with(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The fields that are kept, and more of them as DDL."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(more).fields])

@@ -7,17 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import byte_bpe, packing, quality_rules, simhash
-from keyloom.llm.common import table
+from keyloom.llm import byte_bpe, language_id, license_scan, packing, quality_rules, simhash, toxicity
+from keyloom.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.train(*toxicity.learned_rows(docs, labels, "doc_id", "text", "toxic", ~held_out("doc_id", 5, 0)))
+    rows = docs.select("doc_id", "text", held_out("doc_id", 5, 0).alias("held_out"))
+    return toxicity.score(rows, net, "text", ["doc_id", "held_out"])
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_BPE)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, "doc_id", "text", "lang", ~held_out("doc_id", 4, 2))
+    rows = docs.select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
+    return language_id.predict(rows, model, "text", ["doc_id", "held_out"])
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -30,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"]), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
