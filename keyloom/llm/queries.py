@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyloom.llm import byte_bpe, language_id, license_scan, packing, quality_rules, simhash, toxicity
+from keyloom.llm import byte_bpe, hnsw, language_id, license_scan, packing, quality_rules, reply_trees, simhash, toxicity, url_lists
 from keyloom.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, net, "text", ["doc_id", "held_out"])
 
 
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("id") == 0, "user").otherwise(reply_trees.ASSISTANT)
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(reply_trees.TRICKY).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return reply_trees.digests(reply_trees.conversations(rows))
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_BPE)
 
@@ -32,6 +45,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, "text", ["doc_id", "held_out"])
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.evaluate(url_lists.page_captures(pages), url_lists.page_entries(pages), "url", "day", ["page_id"])
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -54,4 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE}
+    return {
+        "op2_reply_trees": reply_trees.ORACLE,
+        "op6_url_lists": url_lists.ORACLE,
+        "op9_quality_rules": quality_rules.ORACLE,
+    }
