@@ -82,6 +82,18 @@ def quality(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) ->
     return held.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("_lost")).drop("_lost")
 
 
+def cleaned(df: DataFrame, text: str = "text", size: str | None = None) -> DataFrame:
+    """The rows of kept documents with the line rules applied to their text
+    (and ``size``, if named, its new number of characters). All columns stay,
+    whatever their names."""
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_source"))
+    kept = quality(rows, "_source", ["_row"]).where("kept")
+    own = {c: F.col("_row")[c] for c in df.columns} | {text: F.col("clean_text")}
+    if size:
+        own[size] = F.length("clean_text").cast(df.schema[size].dataType)
+    return kept.select(*(own[c].alias(c) for c in df.columns))
+
+
 #: The same in DuckDB's SQL.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

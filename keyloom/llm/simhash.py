@@ -137,3 +137,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     roots = components(links(nodes, bits))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without all but the first (by key) of each group of near
+    duplicates. Rows with a null key stay."""
+    groups = near_duplicates(df.where(F.col(key).isNotNull()), key, text)
+    out = df.join(groups.where(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*df.columns)
+    repeated = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    return out.dropDuplicates([key]) if repeated else out

@@ -331,3 +331,19 @@ def score(df: DataFrame, net: Network | None, text: str, keep: list[str]) -> Dat
                 at += n
 
     return df.select(text, *keep).mapInArrow(run, schema_with(df, keep, "score double, predicted int"))
+
+
+def clean(df: DataFrame, net: Network | None, text: str, threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores under the threshold, with all their
+    columns."""
+    shared = df.sparkSession.sparkContext.broadcast(net)
+    place = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(shared.value) if shared.value else None
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            got = [own.scores([r[0] or "" for r in held]) if own else np.zeros(len(held)) for held in blocks(zip(texts), lambda r: r[0] or "", 1_000_000)]
+            yield batch.filter(pa.array(np.concatenate(got) < threshold)) if got else batch
+
+    return df.mapInArrow(run, df.schema)
