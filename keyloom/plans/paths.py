@@ -1,0 +1,36 @@
+"""Join paths that tables find by the fields they share."""
+
+from __future__ import annotations
+
+from collections import deque
+
+from pyspark.sql import DataFrame
+
+from keyloom.frame import KeyedFrame, same_field
+
+
+def find_path(tables: dict[str, KeyedFrame], start: str, field: str) -> list[tuple[str, str]]:
+    """The shortest chain of (table, the field to look its key up with) from a
+    table to one that has the field. It works on names only."""
+    seen, todo = {start}, deque([(start, [])])
+    while todo:
+        name, way = todo.popleft()
+        own = [tables[name].key, *tables[name].fields]
+        if any(same_field(f, field) for f in own):
+            return way
+        for other, t in tables.items():
+            link = next((f for f in own if same_field(f, t.key)), None)
+            if other not in seen and link:
+                seen.add(other)
+                todo.append((other, [*way, (other, link)]))
+    raise ValueError(f"no path from {start} to {field}")
+
+
+def along(tables: dict[str, KeyedFrame], start: str, field: str, keep: list[str]) -> DataFrame:
+    """The rows of ``start`` with ``keep`` and the field, joined along the
+    path; only the link of each table is read besides."""
+    rows = tables[start].df
+    for name, link in find_path(tables, start, field):
+        t = tables[name]
+        rows = rows.join(t.df.withColumnRenamed(t.key, link) if t.key != link else t.df, link, "left")
+    return rows.select(*keep, next(c for c in rows.columns if same_field(c, field)))
