@@ -46,44 +46,44 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     path's score is the mean of its messages'."""
     rows = messages.select("id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = rows.select(F.col("id").alias("parent"))
-    linked = rows.join(known, "parent", "left_semi")
-    roots = rows.join(known, "parent", "left_anti")
-    # up: the message `step` messages above, or null; n and total: of the
-    # messages from this one to just below `up`, or to the root.
-    state = roots.select("id", F.lit(None).cast(rows.schema["id"].dataType).alias("up"), F.lit(1).alias("n"), "score", F.col("id").alias("root"))
-    state = state.unionByName(linked.select("id", F.col("parent").alias("up"), F.lit(1).alias("n"), "score", F.lit(None).cast(rows.schema["id"].dataType).alias("root")))
-    jumps = [materialize(state, "jumps")]
-    open_ = jumps[0].where("up is not null").count()
-    while open_:
-        here, above = jumps[-1], jumps[-1].select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("score").alias("score2"), F.col("root").alias("root2"))
-        joined = here.join(above, "up", "left")
-        more = joined.select(
-            "id",
-            F.col("up2").alias("up"),
-            (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            F.coalesce("root", "root2").alias("root"),
-        )
-        jumps.append(materialize(more, "jumps"))
-        left = jumps[-1].where("up is not null").count()
-        # A path of more messages than there are rows is a circle.
-        if left and 2 ** (len(jumps) - 1) > jumps[0].count():
-            break
-        open_ = left
-    whole = jumps[-1].where("up is null and root is not null")
+    kind = rows.schema["id"].dataType
+    # done: n messages from this one to the root, which is known, with their
+    # total score. open_[j]: the message 2^j steps above this one, and the
+    # score of the 2^j messages below that. A message is in one of the two, and
+    # only open ones are joined again.
+    done = [materialize(rows.join(known, "parent", "left_anti").select("id", F.lit(1).cast("long").alias("n"), "score", F.col("id").alias("root")), "done")]
+    open_ = [materialize(rows.join(known, "parent", "left_semi").select("id", F.col("parent").alias("up"), "score"), "open")]
+    many = left = open_[0].count()
+    # A path longer than there are replies is a circle.
+    while left and 1 << (len(open_) - 1) <= many:
+        step = 1 << (len(open_) - 1)
+        ends = open_[-1].select("id", "up", F.lit(None).cast("long").alias("n"), "score", F.lit(None).cast(kind).alias("root"))
+        for d in done:
+            ends = ends.unionByName(d.select("id", F.lit(None).cast(kind).alias("up"), "n", "score", "root"))
+        above = ends.select(F.col("id").alias("up"), F.col("up").alias("up2"), "n", F.col("score").alias("score2"), "root")
+        joined = open_[-1].join(above, "up").select("id", F.col("up2").alias("up"), (F.col("n") + step).alias("n"), (F.col("score") + F.col("score2")).alias("score"), "root")
+        both = materialize(joined, "jumps")
+        done.append(both.where("up is null").drop("up"))
+        open_.append(both.where("up is not null").select("id", "up", "score"))
+        left = open_[-1].count()
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
     leaves = whole.join(rows.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     if best is not None:
         order = Window.partitionBy("root").orderBy(F.desc(F.col("score") / F.col("n")), "id")
         leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    # Unfold: a stretch that ends at `id` and has 2^j messages or fewer is the
-    # stretch of half the length there, and the one above it.
-    stretch = leaves.select("root", F.col("id").alias("leaf"), "id", (F.col("n") - 1).alias("place"))
-    for jump in reversed(jumps[:-1]):
-        joined = stretch.join(jump.select("id", "up", "n"), "id")
-        parts = F.array(F.struct(F.col("id"), F.col("place")), F.struct(F.col("up").alias("id"), (F.col("place") - F.col("n")).alias("place")))
-        halves = joined.select("root", "leaf", F.explode(parts).alias("x")).where("x.id is not null")
-        stretch = materialize(halves.select("root", "leaf", "x.id", "x.place"), "stretches")
-    return stretch
+    # Unfold: of a stretch of more than 2^j messages that ends at `id`, the
+    # last 2^j are one stretch and the others, which end at `up`, another.
+    stretch = materialize(leaves.select("root", F.col("id").alias("leaf"), "id", (F.col("n") - 1).alias("place"), "n"), "stretches")
+    for j in range(len(open_) - 1, -1, -1):
+        step = F.lit(1 << j).cast("long")
+        joined = stretch.where(F.col("n") > step).join(open_[j].select("id", "up"), "id")
+        low = F.struct("id", "place", step.alias("n"))
+        high = F.struct(F.col("up").alias("id"), (F.col("place") - step).alias("place"), (F.col("n") - step).alias("n"))
+        halves = materialize(joined.select("root", "leaf", F.explode(F.array(low, high)).alias("x")).select("root", "leaf", "x.*"), "stretches")
+        stretch = stretch.where(F.col("n") <= step).unionByName(halves)
+    return stretch.drop("n")
 
 
 def format_paths(found: DataFrame, messages: DataFrame) -> DataFrame:

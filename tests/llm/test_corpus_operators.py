@@ -175,3 +175,27 @@ def test_license(spark, texts):
         assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
         assert {x for _, x in at} <= set(r["labels"].split(","))
         assert r["labels"] == ",".join(sorted(set(r["labels"].split(",")))) and 0 <= r["score"] <= 1
+
+
+def test_trees(spark):
+    from keyloom.llm import reply_trees
+
+    parents = {1: None, 2: 1, 3: 2, 4: 2, 5: 4, 6: 99, 7: 8, 8: 7, 9: None, **{i: i - 1 for i in range(101, 138)}, 101: 9}
+    rows = [(i, p, float(i % 7), "user" if i % 2 else "assistant", f"<|t{i}|>\\") for i, p in parents.items()]
+    messages = spark.createDataFrame(rows, "id long, parent long, score double, role string, text string")
+    got = defaultdict(list)
+    for r in reply_trees.paths(messages).collect():
+        got[r.leaf].append((r.place, r.id, r.root))
+    want = {}
+    for leaf in {3, 5, 6, 137}:
+        path = [leaf]
+        while parents[path[-1]] in parents:
+            path.append(parents[path[-1]])
+        want[leaf] = [(i, k, path[-1]) for i, k in enumerate(reversed(path))]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    best = reply_trees.paths(messages, best=1)
+    # The paths 1-2-3 (mean 2) and 1-2-4-5 (mean 3).
+    assert {(r.root, r.leaf) for r in best.select("root", "leaf").distinct().collect()} == {(1, 5), (6, 6), (9, 137)}
+    shown = reply_trees.format_paths(best, messages).select("leaf", reply_trees.read_back("formatted").alias("turns"))
+    texts = {r[0]: (r[3], r[4]) for r in rows}
+    assert {r.leaf: [tuple(t) for t in r.turns] for r in shown.collect()} == {k: [texts[i] for _, i, _ in want[k]] for k in (5, 6, 137)}
