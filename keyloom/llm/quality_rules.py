@@ -87,7 +87,9 @@ def cleaned(df: DataFrame, text: str = "text", size: str | None = None) -> DataF
     (and ``size``, if named, its new number of characters). All columns stay,
     whatever their names."""
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_source"))
-    kept = quality(rows, "_source", ["_row"]).where("kept")
+    # The partition's number keeps the optimizer from moving the filter below
+    # the columns it is made from, where each would be made many times over.
+    kept = quality(rows, "_source", ["_row"]).withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0)).where("kept")
     own = {c: F.col("_row")[c] for c in df.columns} | {text: F.col("clean_text")}
     if size:
         own[size] = F.length("clean_text").cast(df.schema[size].dataType)
