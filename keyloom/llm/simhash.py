@@ -145,4 +145,6 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     groups = near_duplicates(df.where(F.col(key).isNotNull()), key, text)
     out = df.join(groups.where(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*df.columns)
     repeated = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([key]) if repeated else out
+    if not repeated:
+        return out
+    return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
