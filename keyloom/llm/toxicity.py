@@ -36,10 +36,16 @@ PER_LABEL = 1000
 LEARNED_CHARS = 10_000
 
 WINDOW, STRIDE = 48, 24
-WORDS, GRAMS = 1 << 15, 1 << 15
+WORDS, GRAMS = 1 << 17, 1 << 15
 SIZE, HIDDEN, ATTENTION = 8, 8, 8
 ORDERS = (3, 4, 5)
-EPOCHS, BATCH, RATE, DECAY = 5, 32, 0.01, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 5, 16, 0.01, 1e-4
+#: Steps that few learned texts are gone through again for.
+STEPS = 300
+#: Against learning texts by heart: a word in fewer learned texts has no vector
+#: of its own, only its n-grams'; and this share of a window's words is left out
+#: while learning from it.
+MIN_TEXTS, DROPPED = 3, 0.4
 
 
 def _lower() -> np.ndarray:
@@ -109,7 +115,8 @@ class Network:
         r = np.random.default_rng(seed)
         f = lambda scale, *shape: (r.standard_normal(shape) * scale).astype(np.float32)
         z = lambda *shape: np.zeros(shape, np.float32)
-        return cls(f(0.1, WORDS, SIZE), f(0.1, GRAMS, SIZE), f(0.35, 2, 2 * SIZE, 3 * HIDDEN), z(2, 3 * HIDDEN), f(0.3, 2, HIDDEN, 3 * HIDDEN), f(0.3, 2 * HIDDEN, ATTENTION), z(ATTENTION), f(0.3, ATTENTION), f(0.3, 2 * HIDDEN), z(1))
+        # Input vectors start at zero, so those that nothing was learned for add no noise.
+        return cls(z(WORDS + 1, SIZE), z(GRAMS, SIZE), f(0.35, 2, 2 * SIZE, 3 * HIDDEN), z(2, 3 * HIDDEN), f(0.3, 2, HIDDEN, 3 * HIDDEN), f(0.3, 2 * HIDDEN, ATTENTION), z(ATTENTION), f(0.3, ATTENTION), f(0.3, 2 * HIDDEN), z(1))
 
     def inputs(self, rows, grams, many) -> np.ndarray:
         """The input of each word: its vector and its n-grams' mean."""
@@ -233,12 +240,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         text = block.text()
         docs.append([order.setdefault(text[a:b], len(order)) + 1 for a, b in zip(*(x.tolist() for x in spans(block)))])
     rows, grams, many = features(list(order))
+    known = np.bincount([w - 1 for d in docs for w in set(d)], minlength=len(order)) >= MIN_TEXTS
+    rows = np.where(known, rows, WORDS)  # a row that stays zero
     places = np.cumsum(many) - many
     net, r = Network.start(seed), np.random.default_rng(seed)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(net).items()}
-    step = 0
-    for _ in range(EPOCHS):
+    step, batches = 0, -(-len(docs) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
         turn = r.permutation(len(docs))
         for at in range(0, len(turn), BATCH):
             picked = [i for i in turn[at : at + BATCH].tolist() if docs[i]]
@@ -254,10 +263,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             scores = net.logits(gates, every)
             best = np.lexsort((-scores, owner))
             best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
-            g = net.gradients(inputs, every[best], y[picked], weight[picked] / len(picked))
+            shown = np.where(r.random((len(best), WINDOW)) < DROPPED, 0, every[best])
+            g = net.gradients(inputs, shown, y[picked], weight[picked] / len(picked))
             d = g.pop("inputs")[1:]
             step += 1
-            _adam(net.words, moments["words"], step, *_gathered(rows[own - 1], d[:, :SIZE]))
+            has = known[own - 1]
+            _adam(net.words, moments["words"], step, *_gathered(rows[own - 1][has], d[has, :SIZE]))
             _adam(net.grams, moments["grams"], step, *_gathered(flat, np.repeat(d[:, SIZE:] / np.maximum(n, 1)[:, None], n, axis=0)))
             for k, v in g.items():
                 _adam(getattr(net, k), moments[k], step, ..., v)
