@@ -39,18 +39,26 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """The fingerprint of one text, as an unsigned number."""
+def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
+    """One hash for each run of so many words, with repeats; a shorter text is
+    one run, an empty one has none. Each hash is eight bytes, high ones first."""
     raw = b" ".join(text.encode("utf-8").translate(_LOWER).split())
     if not raw:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     blanks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     starts = [0, *(blanks + 1).tolist()]
     ends = [*blanks.tolist(), len(raw)]
     spans = zip(starts[: len(starts) - words + 1], ends[words - 1 :]) if len(starts) > words else [(0, len(raw))]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(raw[a:b], SEED) for a, b in spans])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    return np.frombuffer(b"".join([digest(raw[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """The fingerprint of one text, as an unsigned number."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes, axis=1)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(bits), 255):  # sums of 255 bits fit a byte
         ones += bits[at : at + 255].sum(0, dtype=np.uint8)
@@ -141,8 +149,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without all but the first (by key) of each group of near
-    duplicates. Rows with a null key stay."""
-    groups = near_duplicates(df.where(F.col(key).isNotNull()), key, text)
+    copies by Jaccard similarity. Rows with a null key stay."""
+    from keyloom.llm import near_copies
+
+    groups = near_copies.groups(df.where(F.col(key).isNotNull()), key, text)
     out = df.join(groups.where(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*df.columns)
     repeated = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if not repeated:
