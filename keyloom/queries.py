@@ -498,6 +498,20 @@ def q68_union_keys(t):
     return joins.union_keys(a, b).df
 
 
+@query("WITH s AS (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey), a AS (SELECT l_suppkey FROM s WHERE p_brand = 'Brand#12'), b AS (SELECT l_suppkey FROM s WHERE p_brand = 'Brand#23') SELECT (SELECT count(*) FROM a WHERE l_suppkey IN (FROM b)) AS common, (SELECT count(*) FROM a WHERE l_suppkey NOT IN (FROM b)) AS only_first, (SELECT count(*) FROM b WHERE l_suppkey NOT IN (FROM a)) AS only_second")
+def q69_compare_brands(t):
+    sold = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select("p_brand", "l_suppkey")
+    return agg.compare(sold.where("p_brand = 'Brand#12'"), sold.where("p_brand = 'Brand#23'"), "l_suppkey")
+
+
+@query("SELECT c_mktsegment AS segment, " + ", ".join(f'sum(CASE WHEN c_nationkey = {n} THEN 1 ELSE 0 END)::BIGINT AS "{n}"' for n in range(25)) + " FROM customer GROUP BY 1")
+def q70_transpose_segments(t):
+    segments = [r[0] for r in t("customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    nations = [r[0] for r in t("nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    counts = t("nation").select("n_nationkey").join(t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).pivot("c_mktsegment", segments).count(), "n_nationkey", "left").fillna(0)
+    return shape.transpose(keyed(counts, "n_nationkey", segments), nations, "segment").df
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
