@@ -37,29 +37,58 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Public license wording, with this module's markup.
+#: Public license wording, with this module's markup. Texts and
+#: notices of several sentences are whole, disclaimers included; the rest are
+#: one-line notices, with labels of their own.
 TEMPLATES = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
         documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
         to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
         whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
-        notice <<opt>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software.""",
+        notice <<opt>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var 12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""",
     "mit": "<<opt>>This <<var 3>> is<<end>> <<opt>>released<<end>> <<opt>>licensed<<end>> <<opt>>distributed<<end>> under the <<opt>>terms of the<<end>> MIT License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 <<opt>>(the \"License\"); you may not use this file except in compliance with the License<<end>>",
     "gpl-3.0": "licensed under the GNU General Public License, version 3 <<opt>>or <<opt>>(at your option)<<end>> any later version<<end>>",
     "gpl-2.0": "licensed under the GNU General Public License, version 2 <<opt>>or <<opt>>(at your option)<<end>> any later version<<end>>",
     "gpl-notice": """This program is free software<<opt>>:<<end>> you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation, either version <<var 1>> of the License, or (at your
-        option) any later version""",
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details""",
     "cc-by-nc-4.0": "Licensed under <<opt>>the<<end>> <<opt>>terms of<<end>> CC BY-NC 4.0",
     "cc-by-nc": "licensed under a Creative Commons Attribution-NonCommercial <<var 1>> <<opt>>International<<end>> License",
     "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: <<opt>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list
         of conditions and the following disclaimer. <<opt>>2.<<end>> Redistributions in binary form must reproduce the above copyright
         notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution""",
+        distribution. THIS SOFTWARE IS PROVIDED BY <<var 12>> "AS IS" AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: <<opt>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. <<opt>>2.<<end>> Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. <<opt>>3.<<end>> Neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY <<var 12>> "AS IS" AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var 12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+        DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE""",
     "isc": """Permission to use, copy, modify, and<<opt>>/or<<end>> distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var 12>> BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE""",
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at <<opt>>http<<end>> <<opt>>https<<end>> mozilla.org/MPL/2.0""",
 }
