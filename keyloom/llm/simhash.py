@@ -149,12 +149,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without all but the first (by key) of each group of near
-    copies by Jaccard similarity. Rows with a null key stay."""
+    copies by Jaccard similarity. A key may stand on several texts: each is
+    kept or dropped by itself. Rows with a null key stay."""
     from keyloom.llm import near_copies
 
     groups = near_copies.groups(df.where(F.col(key).isNotNull()), key, text)
-    out = df.join(groups.where(F.col("component_id") != F.col(key)).select(key), key, "left_anti").select(*df.columns)
-    repeated = df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
+    copies = groups.where((F.col("component_id") != F.col(key)) | (F.col("first_row") != F.col("row"))).select(F.col(key).alias("_of"), F.col("row").alias("_is"))
+    out = df.join(copies, (F.col(key) == F.col("_of")) & (F.xxhash64(text) == F.col("_is")), "left_anti")
+    repeated = groups.groupBy(key, "row").count().where("count > 1").limit(1).count()
     if not repeated:
         return out
-    return out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
+    return out.where(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(out.where(F.col(key).isNull()))

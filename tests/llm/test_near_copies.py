@@ -89,3 +89,12 @@ def test_band_keys_pass_over_few():
         sets += [own[:180], own[20:]]
     keys = near_copies.band_keys(sets).reshape(-1, 2, near_copies.BANDS)
     assert (keys[:, 0] == keys[:, 1]).any(1).all()
+
+
+def test_one_id_on_two_texts(spark):
+    """A text without any copy stays, whatever else has its id."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, three), (6, three.upper()), (7, None), (7, two + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, (r.text or "").lower()) for r in simhash.one_of_each(df).collect())
+    assert left == [(1, one), (5, two), (6, three), (7, "")]
