@@ -3,8 +3,15 @@
 Equal vectors are one node with the smallest ids of its copies (no answer needs
 more than k + 1 of them). Nodes are dealt to shards of about ``SHARD`` nodes by
 a hash; each shard's hierarchical graph is built in one task and stored as one
-row of flat arrays. A query walks the graph of every shard; the shards' nearest
-are scored exactly, in double precision on the original vectors, and merged.
+row of flat arrays. A query walks the graph of every shard; all nodes found
+there are scored exactly, in double precision on the original vectors, and the
+shards' nearest are merged. So scaled copies of a vector, which tie, are all
+scored as long as a shard holds no more than ``SEARCH`` of them.
+
+A query's work grows with the number of shards. Where queries are a fixed share
+of the rows, as in the query of this package, all work grows with the square of
+the rows over ``SHARD``, so the shard should be as large as a task's memory
+lets it be (about 1.2 kB a node of 128 components).
 
 Results by case: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as queries or candidates; a query is compared with
@@ -26,9 +33,10 @@ from keyloom.llm.common import materialize
 
 #: Nodes of a shard, about; links of a node above the lowest layer (twice as
 #: many there); nodes kept while building and while searching.
-SHARD, LINKS, BUILD, SEARCH = 4096, 16, 96, 96
+SHARD, LINKS, BUILD, SEARCH = 8192, 20, 96, 256
 #: Queries of a block, and blocks that are searched together in one task.
 QUERY_BLOCK, SPAN = 512, 16
+MOST_PARTITIONS = 20_000
 INSERT, EXPAND = 256, 4
 
 
@@ -221,14 +229,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def build_index(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def component(rows: DataFrame, vector: str) -> str:
+    """The type that components are kept in: float where they are, else
+    double."""
+    return "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"
+
+
+def build_index(rows: DataFrame, key: str, vector: str, k: int, shard: int = SHARD) -> DataFrame:
     """A row for each shard: shard, dims, sizes and links (the graph's flat
     arrays), vectors (flat, in node order), ids (of each node, up to k + 1)."""
-    own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(usable(F.col("v")))
+    kind = component(rows, vector)
+    own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).where(usable(F.col("v")))
     turn = Window.partitionBy("v").orderBy("id")
     copies = own.distinct().withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k + 1)
     nodes = materialize(copies.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    by_dims = nodes.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    by_dims = nodes.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    many = by_dims.agg(F.sum("shards")).first()[0] or 1
     dealt = nodes.withColumn("dims", F.size("v")).join(by_dims, "dims").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -244,12 +260,14 @@ def build_index(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
             "dims": pa.array([v.shape[1]], pa.int32()),
             "sizes": pa.array([flat["sizes"]], pa.list_(pa.int32())),
             "links": pa.array([flat["links"]], pa.list_(pa.int32())),
-            "vectors": pa.array([v[order].ravel()], pa.list_(pa.float32())),
+            "vectors": pa.array([v[order].ravel()], pa.list_(pa.float32() if kind == "float" else pa.float64())),
             "ids": pa.array([first.take(pa.array(order)).to_pylist()], pa.list_(pa.list_(pa.int64()))),
         })
 
-    fields = "shard int, dims int, sizes array<int>, links array<int>, vectors array<float>, ids array<array<long>>"
-    return materialize(dealt.select("dims", "shard", "v", "ids").groupBy("dims", "shard").applyInArrow(run, fields), "graphs")
+    fields = f"shard int, dims int, sizes array<int>, links array<int>, vectors array<{kind}>, ids array<array<long>>"
+    # A partition for each shard: left to itself, Spark joins them again.
+    apart = dealt.select("dims", "shard", "v", "ids").repartition(min(many, MOST_PARTITIONS), "dims", "shard")
+    return materialize(apart.groupBy("dims", "shard").applyInArrow(run, fields), "graphs")
 
 
 def _searcher(k: int):
@@ -263,24 +281,26 @@ def _searcher(k: int):
             q, names = _matrix(right["v"]), right["id"].to_numpy()
             for at in range(0, len(q), QUERY_BLOCK):
                 some, who = q[at : at + QUERY_BLOCK], names[at : at + QUERY_BLOCK]
-                # A few more than k nodes: near ties are settled in double precision.
-                found = graph.search(unit(some))[:, : 2 * (k + 1)]
-                scores = cosines(np.repeat(some[:, None], found.shape[1], axis=1), x[np.maximum(found, 0)])
+                found = graph.search(unit(some))
+                scores = np.concatenate([cosines(np.repeat(some[b : b + 64, None], found.shape[1], axis=1), x[np.maximum(found[b : b + 64], 0)]) for b in range(0, len(some), 64)])
+                scores[found < 0] = -np.inf
+                # The k + 1 best nodes, one of which may be the query's own, and all that tie with them.
+                near = scores >= -np.partition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, min(k, scores.shape[1] - 1)][:, None]
                 for i, own in enumerate(who.tolist()):
-                    near = sorted((-s, v) for s, n in zip(scores[i].tolist(), found[i].tolist()) if n >= 0 for v in ids[n] if v != own)[:k]
-                    out["query_id"] += [own] * len(near)
-                    out["vec_id"] += [v for _, v in near]
-                    out["score"] += [-s for s, _ in near]
+                    best = sorted((-scores[i, j], v) for j in np.flatnonzero(near[i] & (found[i] >= 0)).tolist() for v in ids[found[i, j]] if v != own)[:k]
+                    out["query_id"] += [own] * len(best)
+                    out["vec_id"] += [v for _, v in best]
+                    out["score"] += [-s for s, _ in best]
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: of each query its k nearest rows other
     than itself."""
-    index = build_index(rows, key, vector, k)
-    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(usable(F.col("v"))).distinct()
+    index = build_index(rows, key, vector, k, shard)
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{component(rows, vector)}>").alias("v")).where(usable(F.col("v"))).distinct()
     spans = asked.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / (QUERY_BLOCK * SPAN)).cast("int").alias("spans"))
     # Every block of queries meets every shard.
     shards = index.groupBy("dims").agg(F.collect_set("shard").alias("shards"))

@@ -5,11 +5,14 @@ to the text's length, so a text's score is a mean over its n-grams). Document
 frequencies are counted over every training text. The weights are learned by
 follow-the-regularised-leader with elastic-net penalties on at most
 ``PER_LANGUAGE`` texts of each language, and a temperature fitted on a part of
-them that was held back makes the scores probabilities.
+them that was held back makes the scores probabilities. With 25 learned texts or
+fewer none are held back, and the temperature is 1.
 
 Results by case: a null text, or one without a letter, is ``und`` with score 0;
-rows with a null language are scored but never learned from; repeated rows and
-ties each give their own row (of equal scores the language first in order);
+rows with a null language are scored but never learned from; an id with two
+languages isn't learned from, and of several texts with one id the smallest is;
+repeated rows and ties each give their own row (of equal scores the language
+first in order);
 an empty table, or one without a labelled text, gives ``und`` everywhere; other
 columns aren't read.
 """
@@ -21,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import schema_with
+from keyloom.llm.common import lowest_by_hash, schema_with
 from keyloom.llm.vectext import LETTER, SEPARATOR, TABLE, Block, _mix, blocks
 
 BUCKET_BITS = 16
@@ -195,10 +198,11 @@ def fit(df: DataFrame, key: str, text: str, lang: str, learn: Column) -> Model |
     language is null."""
     rows = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
     frequency, total = document_frequencies(rows, text)
-    turn = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = rows.select(key, lang, F.row_number().over(turn).alias("turn")).where(F.col("turn") <= PER_LANGUAGE).select(key).distinct()
-    # The chosen ids are bounded by PER_LANGUAGE and the number of languages.
-    picked = sparse(rows.select(key, text, lang).join(F.broadcast(chosen), key, "left_semi"), text, [key, lang]).orderBy(F.xxhash64(key), key, lang).collect()
+    chosen = lowest_by_hash(rows, key, lang, PER_LANGUAGE).select(key, "turn")
+    # At most PER_LANGUAGE ids for each language, and one text for each id:
+    # neither the broadcast nor what reaches the driver grows with the table.
+    texts = rows.select(key, text, lang).join(F.broadcast(chosen), key).groupBy(key, lang, "turn").agg(F.min(text).alias(text))
+    picked = sparse(texts, text, [key, lang, "turn"]).orderBy("turn", lang, key).collect()
     if not picked:
         return None
     languages = sorted({r[lang] for r in picked})

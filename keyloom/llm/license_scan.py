@@ -4,7 +4,8 @@ A template is license wording with markup: ``<<opt>>...<<end>>`` is a region
 that may be absent, ``<<var N>>`` stands for up to N words of any kind. Each
 template becomes an automaton over words; a passage is accepted where its
 mandatory wording matches exactly, word for word, and takes the template's
-label. Besides, fixed phrases are counted where their words stand
+label, unless a word of denial stands right before it ("not licensed under
+..."). Besides, fixed phrases are counted where their words stand
 consecutively (the base labels).
 
 Words are runs of ASCII letters and digits and of any other characters beyond
@@ -12,13 +13,14 @@ ASCII, with A-Z in lower case.
 
 Results by case: a null text counts as empty; a text without words has no
 spans and score 0; repeated rows each give their own row; of a template's
-matches from one word the longest counts; an empty table gives an empty one; of
+matches that overlap the longest counts, then the first; an empty table gives an empty one; of
 other columns, those named in ``keep`` are carried.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -89,10 +91,27 @@ TEMPLATES = {
         SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
         WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
         PERFORMANCE OF THIS SOFTWARE""",
+    "zlib": """This software is provided <<opt>>'<<end>>as-is<<opt>>'<<end>>, without any express or implied warranty. In no event will the authors be held liable for any
+        damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<opt>>1.<<end>> The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<opt>>2.<<end>>
+        Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<opt>>3.<<end>>
+        This notice may not be removed or altered from any source distribution""",
+    "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at <<opt>>http<<end>> <<opt>>https<<end>> www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+        law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License""",
+    "cc-by-4.0": "licensed under <<opt>>the<<end>> <<opt>>a<<end>> Creative Commons Attribution 4.0 <<opt>>International<<end>> <<opt>>Public<<end>> License",
+    "cc-by-sa": "licensed under <<opt>>the<<end>> <<opt>>a<<end>> Creative Commons Attribution-ShareAlike <<var 1>> <<opt>>International<<end>> <<opt>>Unported<<end>> License",
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at <<opt>>http<<end>> <<opt>>https<<end>> mozilla.org/MPL/2.0""",
 }
 
+#: Words that deny what follows them.
+DENIALS = frozenset("not never no neither nor without cannot t".split())
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -193,17 +212,26 @@ class Scanner:
 
     def found(self, words: list[str]) -> list[tuple[str, int, int]]:
         """Accepted passages; of those of one label that overlap, the longest
-        (then the first)."""
-        every = []
+        (then the first), and of what is left those that aren't denied."""
+        every: dict[str, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(words):
             for own, label in self.starts.get(w, ()):
                 end = own.match(words, i)
                 if end > i:
-                    every.append((label, i, end))
+                    every.setdefault(label, []).append((i - end, i, end))
         out: list[tuple[str, int, int]] = []
-        for x in sorted(every, key=lambda x: (x[1] - x[2], x[1], x[0])):
-            if not any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in out):
-                out.append(x)
+        for label, matches in every.items():
+            # What is taken doesn't overlap, so a match only has to be held
+            # against its neighbours.
+            starts: list[int] = []
+            ends: dict[int, int] = {}
+            for _, i, end in sorted(matches):
+                at = bisect_left(starts, i)
+                if (at < len(starts) and starts[at] < end) or (at and ends[starts[at - 1]] > i):
+                    continue
+                starts.insert(at, i)
+                ends[i] = end
+            out += [(label, i, ends[i]) for i in starts if not (i and words[i - 1] in DENIALS)]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def candidate(self, lowered: str) -> bool:

@@ -165,7 +165,7 @@ def pack(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY
     cut = materialize(pieces(df, key, text, path, capacity, end_id), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = Places(minimum_bin_slack(histogram, capacity))
+    places = df.sparkSession.sparkContext.broadcast(Places(minimum_bin_slack(histogram, capacity)))  # bounded by the capacity
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     numbered = cut.join(before, ["task", "length"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("ordinal"))
@@ -173,7 +173,7 @@ def pack(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, ordinal = (batch.column(i).to_numpy() for i in (3, 5))
-            bins, offsets = places.find(length, ordinal)
+            bins, offsets = places.value.find(length, ordinal)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = df.schema[key].dataType.simpleString()

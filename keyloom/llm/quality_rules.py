@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACE, WORD
+from keyloom.llm.common import SPACE, WORD, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -27,13 +27,21 @@ MAX_LOST = 50
 TERMINAL = r"[.!?:;…。！？]['\"”’»)\]]*[\x20\x09-\x0D]*$"
 #: Marks between the entries of a navigation row.
 NAVIGATION = r"(^|[\x20\x09-\x0D])[|>»›•·/]($|[\x20\x09-\x0D])"
-BOILERPLATE = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (in|up)|log ?in|subscribe (now|to)|enable javascript|skip to (main )?content|share (on|this)|read more)"
+#: In English, German, French and Spanish.
+BOILERPLATE = (
+    r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (in|up)|log ?in|subscribe (now|to)|enable javascript|skip to (main )?content|share (on|this)|read more"
+    r"|datenschutzerkl.rung|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|jetzt anmelden|newsletter abonnieren|weiterlesen|zum inhalt springen"
+    r"|politique de confidentialit|conditions d.utilisation|tous droits r.serv|cliquez ici|se connecter|lire la suite|aller au contenu"
+    r"|pol.tica de privacidad|t.rminos de uso|todos los derechos reservados|haga clic aqu|iniciar sesi|leer m.s|ir al contenido)"
+)
 BOILERPLATE_WORDS = 12
+#: More words than that.
+LONG = rf"(?:[^{SPACE}]++[{SPACE}]++){{{BOILERPLATE_WORDS}}}[^{SPACE}]"
 CLUTTER = r"[!#*$%&|<>]{2,}"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def has_word(text: Column) -> Column:
@@ -41,10 +49,14 @@ def has_word(text: Column) -> Column:
 
 
 def _line_fails(line: Column) -> Column:
-    n = F.size(words(line))
+    """Cheap tests stand first; words are only counted where marks were
+    found."""
+    n = F.regexp_count(line, F.lit(WORD))
     marks = F.regexp_count(line, F.lit(NAVIGATION))
     clutter = F.regexp_count(line, F.lit(CLUTTER))
-    return ~line.rlike(TERMINAL) | ((marks >= 2) & (5 * marks >= n)) | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)) | (5 * clutter >= n)
+    navigation = (marks >= 2) & (5 * marks >= n)
+    cluttered = line.rlike(CLUTTER) & (5 * clutter >= n)
+    return ~line.rlike(TERMINAL) | navigation | cluttered | (~line.rlike(LONG) & line.rlike(BOILERPLATE))
 
 
 def quality(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -54,12 +66,12 @@ def quality(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) ->
     held = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     held = held.withColumn("_w", words(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n", -1), has_word))
     w = F.col("_w")
-    last = F.size(w) - 2
-    held = held.withColumn("_grams", F.transform(F.slice(w, 1, F.greatest(last, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
-    grams = F.col("_grams")
-    # Only a text with a window twice is sorted.
-    pairs = F.when(F.size(F.array_distinct(grams)) < F.size(grams), F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-    held = held.withColumn("_pairs", pairs)
+    heads = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    # Equal windows have equal hashes, so only a text with a hash twice has its
+    # windows written out and sorted.
+    held = held.withColumn("_hashes", F.transform(heads, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
+    grams = F.transform(heads, lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+    held = held.withColumn("_pairs", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(grams)))
     p = F.col("_pairs")
     twice = F.filter(p, lambda x, k: (F.coalesce(F.get(p, k - 1)["g"] == x["g"], F.lit(False))) | F.coalesce(F.get(p, k + 1)["g"] == x["g"], F.lit(False)))
     held = held.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
@@ -87,13 +99,13 @@ def cleaned(df: DataFrame, text: str = "text", size: str | None = None) -> DataF
     (and ``size``, if named, its new number of characters). All columns stay,
     whatever their names."""
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_source"))
-    # The partition's number keeps the optimizer from moving the filter below
-    # the columns it is made from, where each would be made many times over.
-    kept = quality(rows, "_source", ["_row"]).withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0)).where("kept")
+    # Written before they are filtered: the optimizer would otherwise move the
+    # filter below the columns it is made from, and make each many times over.
+    judged = materialize(quality(rows, "_source", ["_row"]).select("_row", "kept", F.when(F.col("kept"), F.col("clean_text")).alias("clean_text")), "judged")
     own = {c: F.col("_row")[c] for c in df.columns} | {text: F.col("clean_text")}
     if size:
         own[size] = F.length("clean_text").cast(df.schema[size].dataType)
-    return kept.select(*(own[c].alias(c) for c in df.columns))
+    return judged.where("kept").select(*(own[c].alias(c) for c in df.columns))
 
 
 #: The same in DuckDB's SQL.

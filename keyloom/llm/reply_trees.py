@@ -12,8 +12,9 @@ string can occur there and reading back is exact.
 
 Results by case: a null text or role counts as empty; a reply to a message that
 isn't there starts a tree; messages that reply to each other in a circle have
-no root and are in no path; of several rows with one message id the smallest
-role and text counts; ties of score go to the smaller leaf id; an empty table
+no root and are in no path; of several rows with one message id ``unique``
+keeps the one of smallest role and text, and the other functions take ids that
+occur once; ties of score go to the smaller leaf id; an empty table
 gives an empty one; other columns aren't read.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import materialize
 
 ASSISTANT = "assistant"
+END = "<|end|>"
 
 
 def escape(text: Column) -> Column:
@@ -40,6 +42,13 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def unique(messages: DataFrame) -> DataFrame:
+    """One row for each message id: that of smallest role, text, parent and
+    score."""
+    rest = [c for c in ("role", "text", "parent", "score") if c in messages.columns]
+    return messages.where("id is not null").groupBy("id").agg(F.min(F.struct(*rest)).alias("_m")).select("id", "_m.*")
+
+
 def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     """All root-to-leaf paths, or the ``best`` of each tree: root, leaf, place
     (from 0), id. ``messages`` has distinct ids (not null), parent and score; a
@@ -87,22 +96,36 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
 
 
 def format_paths(found: DataFrame, messages: DataFrame) -> DataFrame:
-    """root, leaf and the formatted conversation."""
+    """root, leaf, the formatted conversation, and its loss mask: the spans of
+    the assistant's texts, in order, as (turn, at, start, size). ``start``
+    counts characters of the conversation, ``at`` those of the turn."""
     turns = found.join(messages.select("id", "role", "text"), "id")
-    shown = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>"), escape(F.col("text")), F.lit("<|end|>"))
-    ordered = F.sort_array(F.collect_list(F.struct("place", shown.alias("shown"))))
-    return turns.groupBy("root", "leaf").agg(F.array_join(ordered["shown"], "").alias("formatted"))
+    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>"))
+    turns = turns.select("root", "leaf", "place", "role", head.alias("head"), escape(F.col("text")).alias("body"))
+    turns = turns.withColumn("shown", F.concat("head", "body", F.lit(END)))
+    before = Window.partitionBy("root", "leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("first", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)))
+    at = F.length("head")
+    span = F.struct(F.col("place").alias("turn"), at.alias("at"), (F.col("first") + at).alias("start"), F.length("body").alias("size"))
+    ordered = F.sort_array(F.collect_list(F.struct("place", "shown")))
+    spans = F.sort_array(F.collect_list(F.when(F.col("role") == ASSISTANT, span)))
+    return turns.groupBy("root", "leaf").agg(F.array_join(ordered["shown"], "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def cut(formatted: Column) -> Column:
+    """The turns of a formatted conversation, as they are written."""
+    return F.filter(F.split(formatted, END.replace("|", r"\|"), -1), lambda x: x != "")
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text)."""
-    parts = F.filter(F.split(formatted, r"<\|end\|>", -1), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(unescape(F.regexp_extract(x, r"(?s)^<\|([^|]*)\|>(.*)$", 1)).alias("role"), unescape(F.regexp_extract(x, r"(?s)^<\|([^|]*)\|>(.*)$", 2)).alias("text")))
+    return F.transform(cut(formatted), lambda x: F.struct(unescape(F.regexp_extract(x, r"(?s)^<\|([^|]*)\|>(.*)$", 1)).alias("role"), unescape(F.regexp_extract(x, r"(?s)^<\|([^|]*)\|>(.*)$", 2)).alias("text")))
 
 
-def loss_text(turns: Column) -> Column:
-    """All that the loss mask covers: the assistant's texts, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All that the loss mask covers, unescaped."""
+    turns = cut(formatted)
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.get(turns, s["turn"].cast("int")), s["at"] + 1, s["size"]))), "")
 
 
 def linear(rows: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
@@ -120,15 +143,16 @@ def linear(rows: DataFrame, conversation: str, turn: str, role: str, text: str)
 
 
 def conversations(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Of each conversation its formatted text, as (conversation, formatted)."""
+    """Of each conversation its formatted text and loss mask: (conversation,
+    formatted, loss_spans)."""
     messages = materialize(linear(rows, conversation, turn, role, text), "messages")
-    return format_paths(paths(messages, best=1), messages).select(F.col("root")["c"].alias(conversation), "formatted")
+    return format_paths(paths(messages, best=1), messages).select(F.col("root")["c"].alias(conversation), "formatted", "loss_spans")
 
 
 def digests(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """What is read back from the formatted conversations."""
     read = formatted.withColumn("turns", read_back(F.col("formatted")))
-    read = read.withColumn("loss", loss_text(F.col("turns")))
+    read = read.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         conversation,

@@ -8,12 +8,14 @@ window of a text is scored, each overlapping the next by half, and the text's
 score is the largest.
 
 The network is trained in numpy on at most ``PER_LABEL`` labelled texts of each
-label. A text's label says only that some window of a toxic text is toxic, so
-each step learns from the window that scores highest.
+label, in ``EPOCHS`` passes or, where those make fewer than ``STEPS`` steps, in
+as many passes as make them. A text's label says only that some window of a
+toxic text is toxic, so each step learns from the window that scores highest.
 
 Results by case: a null or empty text, or one without a word, scores 0; rows
-without a label are scored but not learned from; repeated label rows count
-once each; an empty table gives an empty one, and without both labels every
+without a label are scored but not learned from; of repeated label rows one
+counts, an id with two labels isn't learned from, and of several texts with one
+id the smallest is; an empty table gives an empty one, and without both labels every
 score is 0; other columns aren't read.
 """
 
@@ -24,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import schema_with
+from keyloom.llm.common import lowest_by_hash, schema_with
 from keyloom.llm.vectext import SEPARATOR, TABLE, Block, WordCache, _mix, blocks, runs
 
 #: The bounds on learned texts: so many of each label, by a hash of their id,
@@ -220,12 +222,10 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, many) + runs(np.zeros(len(counts), np.int64), many) * STRIDE, owner
 
 
-def window_ids(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """windows x WINDOW ids, 0 beyond a text's end; and each one's text."""
-    starts, owner = windows(counts)
+def window_ids(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """windows x WINDOW ids, 0 beyond where a window's text ends."""
     at = starts[:, None] + np.arange(WINDOW)
-    inside = at < np.cumsum(counts)[owner][:, None]
-    return np.where(inside, ids[np.minimum(at, len(ids) - 1)], 0) if len(ids) else np.zeros((0, WINDOW), np.int64), owner
+    return np.where(at < ends[:, None], ids[np.minimum(at, len(ids) - 1)], 0) if len(ids) else np.zeros((0, WINDOW), np.int64)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
@@ -259,7 +259,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             flat = grams[runs(places[own - 1], n)]
             inputs = np.concatenate((np.zeros((1, 2 * SIZE), np.float32), net.inputs(rows[own - 1], flat, n)))
             gates = np.concatenate([inputs @ net.into[d] + net.into_bias[d] for d in (0, 1)], axis=1)
-            every, owner = window_ids(ids + 1, counts)
+            starts, owner = windows(counts)
+            every = window_ids(ids + 1, starts, np.cumsum(counts)[owner])
             scores = net.logits(gates, every)
             best = np.lexsort((-scores, owner))
             best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
@@ -310,20 +311,22 @@ class Scorer:
         gates = self.cache.pool[: self.cache.used].reshape(-1, self.WIDTH)
         own, ids = np.unique(offsets // self.WIDTH, return_inverse=True)
         table = np.concatenate((np.zeros((1, self.WIDTH), np.float32), gates[own]))
-        every, owner = window_ids(ids + 1, block.counts(starts))
-        for at in range(0, len(every), self.TOGETHER):
-            some = every[at : at + self.TOGETHER]
-            np.maximum.at(out, owner[at : at + self.TOGETHER], _sigmoid(self.net.logits(table, some).astype(float)))
+        counts = block.counts(starts)
+        firsts, owner = windows(counts)
+        until = np.cumsum(counts)[owner]
+        for at in range(0, len(owner), self.TOGETHER):
+            some = slice(at, at + self.TOGETHER)
+            np.maximum.at(out, owner[some], _sigmoid(self.net.logits(table, window_ids(ids + 1, firsts[some], until[some])).astype(float)))
         return out
 
 
 def learned_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column) -> tuple[list[str], list[int]]:
     """The bounded sample: texts and labels in an order that the ids fix."""
-    turn = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = labels.where(learn & F.col(label).isNotNull()).select(key, label).distinct().withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= PER_LABEL)
+    chosen = lowest_by_hash(labels.where(learn), key, label, PER_LABEL)
     own = docs.where(F.col(text).isNotNull() & (F.length(text) <= LEARNED_CHARS)).select(key, text)
-    # At most PER_LABEL ids for each label, so the broadcast is bounded.
-    rows = own.join(F.broadcast(chosen), key).orderBy("_turn", label, key).select(text, label).collect()
+    # At most PER_LABEL ids for each label, and one text for each id: neither
+    # the broadcast nor what reaches the driver grows with the tables.
+    rows = own.join(F.broadcast(chosen), key).groupBy(key, label, "turn").agg(F.min(text).alias(text)).orderBy("turn", label, key).select(text, label).collect()
     return [r[0] for r in rows], [int(r[1]) for r in rows]
 
 

@@ -24,19 +24,26 @@ SLICE = 64
 FOREVER = 1 << 20
 
 
+#: The host of an absolute URL: an IPv6 address in brackets or a name.
+HOST = r"^[\x00-\x20]*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\[\]]+)"
+#: A host that is an address has no domain above it.
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
+
+
 def host_of(url: Column) -> Column:
     """The host of an absolute URL in lower case, without user, port or a dot
     at its end; null where there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[\x00-\x20]*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    host = F.regexp_extract(F.lower(url), HOST, 1)
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def names_of(host: Column) -> Column:
-    """The host and every domain above it, of two labels at least."""
+    """The host and every domain above it, of two labels at least; an IP
+    address is its only name."""
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
     starts = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -92,9 +99,9 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH h AS (SELECT page_id, {FIRST_DAY} + page_id % {DAYS} AS fetched,
-  nullif(regexp_replace(regexp_extract(lower(url), '^[\x00-\x20]*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host FROM pages),
+  nullif(regexp_replace(regexp_extract(lower(url), '{HOST}', 1), '\.+$', ''), '') AS host FROM pages),
 n AS (SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS name
-  FROM (SELECT host, unnest(range(1, greatest(len(string_split(host, '.')), 2))) AS i FROM (SELECT DISTINCT host FROM h WHERE host IS NOT NULL))),
+  FROM (SELECT host, unnest(CASE WHEN regexp_matches(host, '{ADDRESS}') THEN [1] ELSE range(1, greatest(len(string_split(host, '.')), 2)) END) AS i FROM (SELECT DISTINCT host FROM h WHERE host IS NOT NULL))),
 m AS (SELECT name, {_MARK} AS mark FROM (SELECT DISTINCT name FROM n)),
 e AS (SELECT name, {FIRST_DAY} + mark % 365 + unnest([0, 90, 300]) AS day, unnest([true, false, true]) AS listed FROM m WHERE mark % 3 = 0),
 asked AS (SELECT page_id, host, fetched, name FROM h JOIN n USING (host)),

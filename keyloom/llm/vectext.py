@@ -114,13 +114,6 @@ class Block:
         return np.searchsorted(positions, self.ends) - np.searchsorted(positions, self.starts)
 
 
-def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of the words that ASCII white space separates."""
-    inside = ~(((block.codes >= 9) & (block.codes <= 13)) | (block.codes == 32) | (block.codes == SEPARATOR))
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def runs(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices ``o, o+1, ..., o+n-1`` of each run, one after the other."""
     ends = np.cumsum(lengths)
@@ -128,13 +121,22 @@ def runs(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(offsets - (ends - lengths), lengths) + np.arange(total)
 
 
+def alike(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each pair of runs of equal length (one at least) in ``a`` and ``b``:
+    whether they hold the same."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    return np.logical_and.reduceat(a[runs(a_at, lengths)] == b[runs(b_at, lengths)], np.cumsum(lengths) - lengths)
+
+
 class WordCache:
-    """Variable-length values of words, by the words' hashes.
+    """Variable-length values of words.
 
     ``encode`` gets the words that are new and returns their values end to end
-    and each one's length. The table is direct-mapped and of fixed size, the
-    pool is dropped beyond a bound, so memory is bounded on any corpus; a
-    dropped word is encoded again.
+    and each one's length. A word is looked for by its hash and recognised by
+    its characters, which the table keeps. The table is direct-mapped and of
+    fixed size, the pools are dropped beyond a bound, so memory is bounded on
+    any corpus; a dropped word is encoded again.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, bits: int = 19, most: int = 24 << 20):
@@ -143,32 +145,52 @@ class WordCache:
 
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.offsets = np.zeros(1 << self.bits, np.int64)
-        self.lengths = np.zeros(1 << self.bits, np.int64)
+        self.sizes, self.places, self.offsets, self.lengths = (np.zeros(1 << self.bits, np.int64) for _ in range(4))
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.letters, self.written = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def _room(pool: np.ndarray, used: int, need: int) -> np.ndarray:
+        if need <= len(pool):
+            return pool
+        grown = np.zeros(max(need, 2 * len(pool)), pool.dtype)
+        grown[:used] = pool[:used]
+        return grown
 
     def lookup(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each span's value lies in ``pool``, and its length."""
-        if self.used * self.pool.itemsize > self.most:
+        """Where each span's value lies in ``pool``, and its length. Spans
+        aren't empty."""
+        if self.used * self.pool.itemsize + self.written * 4 > self.most:
             self.clear()
-        h = block.hashes(starts, ends)
+        h, sizes = block.hashes(starts, ends), ends - starts
         slots = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         offsets, lengths = self.offsets[slots], self.lengths[slots]
-        missing = np.flatnonzero(self.keys[slots] != h)
+        known = (self.keys[slots] == h) & (self.sizes[slots] == sizes)
+        known[known] = alike(block.codes, starts[known], self.letters, self.places[slots[known]], sizes[known])
+        missing = np.flatnonzero(~known)
         if len(missing):
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[first]
+            # Words of one hash: those unlike the first are encoded each.
+            same = sizes[missing] == sizes[at][back]
+            same[same] = alike(block.codes, starts[missing[same]], block.codes, starts[at[back[same]]], sizes[missing[same]])
+            odd = missing[~same]
+            every = np.concatenate((at, odd))
             text = block.text()
-            values, sizes = self.encode([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            values, many = self.encode([text[a:b] for a, b in zip(starts[every].tolist(), ends[every].tolist())])
             need = self.used + len(values)
-            if need > len(self.pool):
-                grown = np.zeros(max(need, 2 * len(self.pool)), self.dtype)
-                grown[: self.used] = self.pool[: self.used]
-                self.pool = grown
+            self.pool = self._room(self.pool, self.used, need)
             self.pool[self.used : need] = values
-            where = self.used + np.cumsum(sizes) - sizes
+            where = self.used + np.cumsum(many) - many
             self.used = need
-            offsets[missing], lengths[missing] = where[back], sizes[back]
+            offsets[missing[same]], lengths[missing[same]] = where[back[same]], many[back[same]]
+            offsets[odd], lengths[odd] = where[len(at) :], many[len(at) :]
+            long = sizes[at]
+            need = self.written + int(long.sum())
+            self.letters = self._room(self.letters, self.written, need)
+            self.letters[self.written : need] = block.codes[runs(starts[at], long)]
             put = slots[at]
-            self.keys[put], self.offsets[put], self.lengths[put] = new, where, sizes
+            self.keys[put], self.sizes[put], self.places[put] = new, long, self.written + np.cumsum(long) - long
+            self.offsets[put], self.lengths[put] = where[: len(at)], many[: len(at)]
+            self.written = need
         return offsets, lengths
