@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.frame import KeyedFrame
 from keyloom.operators.load import in_order
+from keyloom.storage import materialize
 
 
 def collapse(df: DataFrame, key: str, fields: list[str], order: list[str], sep: str = "|") -> KeyedFrame:
@@ -59,16 +60,41 @@ def counts(df: DataFrame, column: str) -> DataFrame:
     return own.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def row_counts(t: KeyedFrame) -> DataFrame:
+    """One row: how many rows, keys, and values of each field there are."""
+    sizes = [F.coalesce(F.sum(F.size(t.values(f))), F.lit(0)).alias(f) for f in t.fields]
+    return t.df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.col(f"`{t.key}`")).alias("keys"), *sizes)
+
+
 def statistics(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Sum, mean, exact median, and deviation (null below three rows)."""
+    """Sum, mean, exact median, variance and deviation (null below three
+    rows). The median comes from ``medians``, which spreads a group over
+    tasks; the rest is added up before the shuffle."""
     exact = F.sum(F.col(value).cast("decimal(20,4)")).cast("double")
     n = F.count(F.lit(1))
-    return df.groupBy(by).agg(n.alias("n"), exact.alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.when(n >= 3, F.stddev_samp(value)).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    own = df.groupBy(by).agg(n.alias("n"), exact.alias("total"), F.avg(value).alias("mean"), F.when(n >= 3, F.var_samp(value)).alias("variance"), F.when(n >= 3, F.stddev_samp(value)).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    middle = medians(df, by, value).withColumnRenamed(by, "_by")
+    return own.join(middle, own[by].eqNullSafe(middle["_by"]), "left").select(by, "n", "total", "mean", "median", "variance", "sd", "low", "high")
+
 
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): exact, of the values that aren't null. Equal values are
+    counted before the shuffle, and the counts of a group are ordered over
+    range partitions, so no task holds a whole group."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ordered = cumulated(counted, [by, value], by, "_c")
+    n = ordered.groupBy(by).agg(F.sum("_c").alias("_n")).withColumnRenamed(by, "_by")
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_c"))
+    joined = ordered.join(n, ordered[by].eqNullSafe(n["_by"])).where(holds(low) | holds(high))
+    return joined.groupBy(by).agg(F.avg(value).alias("median"))
 
-def incidence(df: DataFrame, source: str, target: str, targets: list) -> DataFrame:
-    cells = [F.max(F.when(F.col(target) == x, 1).otherwise(0)).alias(str(x)) for x in targets]
-    return df.groupBy(source).agg(*cells)
+
+def incidence(df: DataFrame, source: str, target: str, targets: list, value: str | None = None) -> DataFrame:
+    """source x target: 1 where a pair occurs, else 0; or the largest
+    ``value`` of the pair, else null."""
+    cell = (lambda x: F.max(F.when(F.col(target) == x, F.col(value)))) if value else (lambda x: F.max(F.when(F.col(target) == x, 1).otherwise(0)))
+    return df.groupBy(source).agg(*(cell(x).alias(str(x)) for x in targets))
 
 
 def memberships(df: DataFrame, item: str, group: str, groups: list) -> DataFrame:
@@ -84,10 +110,27 @@ def compare(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return both.agg(n(F.expr("a = 1 and b = 1")).alias("common"), n(F.col("b").isNull()).alias("only_first"), n(F.col("a").isNull()).alias("only_second"))
 
 
+def _log_factorials(n: np.ndarray) -> np.ndarray:
+    """log n!, by Stirling's series; exact sums for small n."""
+    n = np.asarray(n, np.float64)
+    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 64)))))
+    x = np.maximum(n, 32) + 1
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 64, small[np.minimum(n, 63).astype(int)], series)
+
+
 def hypergeometric_tail(k: int, drawn: int, good: int, total: int) -> float:
-    """The chance of k or more good ones among those drawn."""
-    choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
-    return min(1.0, sum(math.exp(choose(good, i) + choose(total - good, drawn - i) - choose(total, drawn)) for i in range(max(k, drawn - total + good), min(good, drawn) + 1)))
+    """The chance of k or more good ones among those drawn. Terms fall from
+    the mode on, so those beyond where they vanish aren't added up."""
+    choose = lambda n, r: _log_factorials(n) - _log_factorials(r) - _log_factorials(n - r)
+    low, high = max(0, drawn - total + good), min(good, drawn)
+    if k <= low:
+        return 1.0
+    if k > high:
+        return 0.0
+    spread = 40 * (1 + drawn * good / total * (1 - good / total)) ** 0.5 + 64
+    at = np.arange(k, min(high, int(max(k, drawn * good / total) + spread)) + 1)
+    return float(min(1.0, np.exp(choose(good, at) + choose(total - good, drawn - at) - choose(total, drawn)).sum()))
 
 
 def enrichment(pairs: DataFrame, item: str, term: str, chosen: DataFrame) -> DataFrame:
@@ -104,20 +147,66 @@ def enrichment(pairs: DataFrame, item: str, term: str, chosen: DataFrame) -> Dat
     return by_term.join(F.broadcast(sizes)).withColumn("p_value", tail("k", "drawn", "good", "total"))
 
 
+def modes(df: DataFrame, by: str, value: str, low: float, high: float, points: int = 256) -> DataFrame:
+    """(by, mode, density): the peaks of each group's density on a grid from
+    ``low`` to ``high``, by a Gaussian kernel of Scott's width. What is
+    smoothed is a histogram on the grid, so a task holds ``points`` counts of a
+    group and never its rows."""
+    step = (high - low) / (points - 1)
+    cell = F.round((F.col(value) - low) / step).cast("int")
+    inside = df.where(F.col(value).between(low, high))
+    grid = inside.groupBy(by, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def peaks(own: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(points)
+        counts[own["_cell"].to_numpy()] = own["_n"].to_numpy()
+        n = counts.sum()
+        sd = max(0.0, own["_q"].sum() / n - (own["_s"].sum() / n) ** 2) ** 0.5
+        width = max(sd * n ** (-1 / 5), step / 2)
+        away = np.arange(-points + 1, points) * step
+        density = np.convolve(counts, np.exp(-0.5 * (away / width) ** 2))[points - 1 : 2 * points - 1] / (n * width * (2 * np.pi) ** 0.5)
+        sides = np.concatenate(([-1.0], density, [-1.0]))
+        at = np.flatnonzero((density > sides[:-2]) & (density >= sides[2:]))
+        return pd.DataFrame({by: [own[by].iloc[0]] * len(at), "mode": low + at * step, "density": density[at]})
+
+    return grid.groupBy(by).applyInPandas(peaks, f"`{by}` {kind}, mode double, density double")
+
+
 def regressions(df: DataFrame, by: str, y: str, x: str) -> DataFrame:
-    """Least squares in each group, and its prediction's columns."""
+    """Least squares in each group: slope, intercept and n."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "_n") -> DataFrame:
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """Rows sorted over range partitions and written so, with ``_m``: the
+    partition's number times 2^33 plus the row's place in it. Written, because
+    a plan that ranges a table twice may cut it differently each time."""
+    return materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: list, name: str = "_n") -> DataFrame:
     """Rows numbered from 1 in a total order, without one task that sees all:
-    rows are range-partitioned and sorted, and each partition starts after the
-    sizes of those before it (one row for each partition)."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    each range partition starts after the sizes of those before it (one row
+    for each partition)."""
+    ranged = in_ranges(df, order)
+    part = F.shiftright("_m", 33)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    within = Window.partitionBy("_p").orderBy(*order)
-    return ranged.withColumn("_w", F.row_number().over(within)).join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_w") + F.col("_b")).cast("long")).drop("_p", "_w", "_b")
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b") + 1
+    return ranged.join(F.broadcast(sizes), part == F.col("_p")).withColumn(name, place.cast("long")).drop("_p", "_m", "_b")
+
+
+def cumulated(df: DataFrame, order: list[str], by: str, value: str) -> DataFrame:
+    """Rows with ``_before``: the sum of ``value`` over the rows of their group
+    that come before them. ``order`` starts with ``by``; a group may span range
+    partitions, of which each hands on one row for each group."""
+    ranged = in_ranges(df, order).withColumn("_p", F.shiftright("_m", 33))
+    inside = F.sum(value).over(Window.partitionBy("_p", by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(by, "_p").agg(F.sum(value).alias("_s")).select(F.col(by).alias("_by"), F.col("_p").alias("_q"), F.sum("_s").over(before).alias("_b"))
+    joined = ranged.withColumn("_i", inside).join(sums, (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn("_before", F.coalesce("_i", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_m", "_p", "_q", "_i", "_b", "_by")
 
 
 def rank_fraction(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -141,5 +230,45 @@ def chunks(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return own.withColumn("robin", F.col("_n") % n).withColumn("block", F.floor(F.col("_n") / n)).drop("_n")
 
 
-def page(df: DataFrame, number: int, size: int, order: list) -> DataFrame:
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+def predicted(df: DataFrame, by: str, y: str, x: str) -> DataFrame:
+    """Rows with the prediction of their group's line, its residual deviation
+    ``se``, and ``filled``: y, or the prediction where y is null. Groups that
+    have no line (fewer than two distinct x) predict null."""
+    fits = df.groupBy(by).agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icept"), F.regr_count(y, x).alias("_n"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy")).withColumnRenamed(by, "_by")
+    rows = df.join(fits, df[by].eqNullSafe(fits["_by"]), "left")
+    line = F.col("_icept") + F.col("_slope") * F.col(x)
+    left = F.greatest(F.col("_syy") - F.col("_slope") * F.col("_sxy"), F.lit(0.0))
+    se = F.when(F.col("_n") > 2, F.sqrt(left / (F.col("_n") - 2)))
+    return rows.withColumns({"prediction": line, "se": se, "filled": F.coalesce(F.col(y), line)}).select(*df.columns, "prediction", "se", "filled")
+
+
+def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """The covariance matrix of numeric columns (rows with a null go), in one
+    pass; only the matrix reaches the driver."""
+    whole = df.select(*(F.col(c).cast("double") for c in columns)).dropna()
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = whole.agg(*(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    out = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"c{i}_{j}"]
+    return out
+
+
+def nearest_psd(matrix: np.ndarray) -> np.ndarray:
+    """The symmetric matrix without its negative eigenvalues."""
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    return (vectors * np.maximum(values, 0)) @ vectors.T
+
+
+def components(df: DataFrame, columns: list[str], n: int = 2) -> DataFrame:
+    """Rows with ``pc1`` ... ``pcn``: principal components of the columns, of
+    which missing values are filled with the mean. A component's sign is the
+    one that makes its largest weight positive."""
+    means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    whole = df.fillna({c: means[c] for c in columns if means[c] is not None}, subset=columns)
+    values, vectors = np.linalg.eigh(covariance(whole, columns))
+    own = {}
+    for i, at in enumerate(np.argsort(-values)[:n]):
+        w = vectors[:, at] * np.sign(vectors[np.abs(vectors[:, at]).argmax(), at])
+        own[f"pc{i + 1}"] = reduce(lambda a, b: a + b, [(F.col(c) - means[c]) * float(x) for c, x in zip(columns, w)])
+    return whole.withColumns(own)

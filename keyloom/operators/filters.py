@@ -115,3 +115,27 @@ def grep(lines: DataFrame, patterns: list[str], column: str = "value", invert: b
     tests = [F.col(column).contains(p) if fixed else F.col(column).rlike(p) for p in patterns]
     holds = reduce(lambda a, b: a | b, tests)
     return lines.where(~holds if invert else holds)
+
+
+def select_by_name(t: KeyedFrame, name: str, names: DataFrame, said) -> KeyedFrame:
+    """Rows with a value of the field whose name, by ``names`` (id, name),
+    meets the condition: the ids are found first and joined."""
+    own = t.field(name)
+    ids = names.toDF("_id", "_name").where(condition(F.col("_name"), said)).select("_id").distinct()
+    if not t.many or own == t.key:
+        return t.with_df(t.df.join(ids, F.col(f"`{own}`") == F.col("_id"), "left_semi"))
+    hit = t.df.select(F.col(f"`{t.key}`").alias("_hit"), F.explode(own).alias("_id")).join(ids, "_id", "left_semi").select("_hit")
+    return t.with_df(t.df.join(hit, F.col(f"`{t.key}`") == F.col("_hit"), "left_semi"))
+
+
+def choose(values: Column, mask: Column) -> Column:
+    """The values at the true places of a mask."""
+    return F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(False))), lambda x: x["v"])
+
+
+def keep_values(t: KeyedFrame, name: str, said, invert: bool = False) -> KeyedFrame:
+    """Of the field's lists only the values that meet the condition, or only
+    the others; rows stay."""
+    own = t.field(name)
+    holds = lambda x: F.coalesce(condition(x, said), F.lit(False))
+    return t.with_df(t.df.withColumn(own, F.filter(own, lambda x: ~holds(x) if invert else holds(x))))

@@ -32,6 +32,20 @@ def process(t: KeyedFrame, name: str, change: Callable[[Column], Column]) -> Key
     return t.with_df(t.df.withColumn(own, new))
 
 
+def process_key(t: KeyedFrame, change: Callable[[Column], Column]) -> KeyedFrame:
+    """Change the key; of rows that meet in one, the row of the largest old key
+    stays."""
+    cells = F.struct(*(F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(t.fields)), F.lit(1).alias("one"))
+    rows = t.df.select(F.col(f"`{t.key}`").alias("_was"), change(F.col(f"`{t.key}`")).alias("_key"), cells.alias("_c"))
+    last = rows.groupBy("_key").agg(F.max_by("_c", "_was").alias("_c"))
+    return t.with_df(last.select(F.col("_key").alias(t.key), *(F.col("_c")[f"f{i}"].alias(f) for i, f in enumerate(t.fields))))
+
+
+def detach(t: KeyedFrame, other: KeyedFrame) -> KeyedFrame:
+    """Only the fields that ``other`` has too."""
+    return slice_fields(t, [f for f in t.fields if f in other.fields])
+
+
 def add_fields(t: KeyedFrame, new: dict[str, Column]) -> KeyedFrame:
     made = {k: F.array(v) if t.shape == "double" else v for k, v in new.items()}
     return t.with_df(t.df.withColumns(made), fields=[*t.fields, *new], shape="list" if t.shape == "single" else t.shape)
@@ -137,6 +151,109 @@ def transpose(t: KeyedFrame, keys: list, key: str = "field") -> KeyedFrame:
     return pivot(melt(t, key, "_v"), key, t.key, F.first("_v", ignorenulls=True), keys)
 
 
+def read_matrix(t: KeyedFrame, field: str = "ID", value: str = "Value", others: list[str] = ()) -> KeyedFrame:
+    """A wide table of scalars as a double one: for each key the names of its
+    fields and their values; ``others`` are kept beside, as lists of one."""
+    wide = [f for f in t.fields if f not in others]
+    cells = [F.array(*(F.lit(f) for f in wide)).alias(field), F.array(*(F.col(f"`{f}`") for f in wide)).alias(value)]
+    return KeyedFrame(t.df.select(t.key, *cells, *(F.array(f"`{o}`").alias(o) for o in others)), t.key, [field, value, *others], "double")
+
+
+def matrix_melt(t: KeyedFrame, field: str = "ID", value: str = "Value", others: list[str] = ()) -> KeyedFrame:
+    """The same as a row for each cell, keyed ``row~column``, with both parts
+    as fields."""
+    rows = t.df.unpivot([t.key, *others], [f for f in t.fields if f not in others], field, value)
+    name = f"{t.key}~{field}"
+    pair = F.concat_ws("~", F.col(f"`{t.key}`").cast("string"), field)
+    return KeyedFrame(rows.select(pair.alias(name), value, *others, t.key, field), name, [value, *others, t.key, field], "list")
+
+
+def melt_records(t: KeyedFrame, fields: list[str] | None = None) -> DataFrame:
+    """A row ``key:i`` for each zipped record, with the key as a field; records
+    that hold nothing are left out."""
+    own = slice_fields(t, fields or t.fields)
+    rows = records(own).where(F.coalesce(*(F.col(f"`{f}`").cast("string") for f in own.fields)).isNotNull())
+    return rows.select(F.concat_ws(":", F.col(t.key).cast("string"), "_i").alias("ID"), t.key, *own.fields)
+
+
+def flat_to_double(t: KeyedFrame, sep: str = "|") -> KeyedFrame:
+    """All values of a flat table as one cell of text."""
+    own = t.fields[0]
+    return t.with_df(t.df.select(t.key, F.array_join(F.transform(own, lambda x: x.cast("string")), sep).alias(own)), shape="list")
+
+
+def zip_fields(lists: list[Column]) -> Column:
+    """The i-th elements of all lists as one list, as long as the first; a
+    first list of one element is repeated to the longest."""
+    first, rest = lists[0], lists[1:]
+    longest = F.greatest(*(F.size(x) for x in lists)) if rest else F.size(first)
+    first = F.when(F.size(first) == 1, F.array_repeat(F.get(first, F.lit(0)), longest)).otherwise(first)
+    return F.transform(first, lambda x, i: F.array(x, *(F.get(r, i) for r in rest)))
+
+
+def append_zipped(lists: Column, new: Column) -> Column:
+    """Each of ``lists`` with the element of ``new`` at its place; of no lists,
+    the elements as lists of one."""
+    grown = F.transform(lists, lambda x, i: F.concat(x, F.array(F.get(new, i))))
+    return F.when(F.size(lists) == 0, F.transform(new, lambda x: F.array(x))).otherwise(grown)
+
+
+def merge_zip(t: KeyedFrame, other: KeyedFrame) -> KeyedFrame:
+    """The table with another's rows appended to the lists of their key, field
+    by field; keys of the other alone are added."""
+    parts = []
+    for i, x in enumerate((t, other)):
+        own = to_double(x)
+        parts.append(own.df.select(F.col(x.key).alias(t.key), F.lit(i).alias("_turn"), *(F.col(f"`{b}`").alias(a) for a, b in zip(t.fields, x.fields))))
+    return merge(parts[0].unionByName(parts[1]), t.key, t.fields, ["_turn"])
+
+
+def zip_new(t: KeyedFrame, rows: DataFrame) -> KeyedFrame:
+    """``rows``: key and one value for each field, appended to its lists."""
+    return merge_zip(t, KeyedFrame(rows, rows.columns[0], rows.columns[1:], "list"))
+
+
+def logical_matrix(t: KeyedFrame) -> KeyedFrame:
+    """Scalar cells as numbers: true is 1, false 0, other text null."""
+    low = lambda f: F.lower(F.col(f"`{f}`").cast("string"))
+    return t.with_df(t.df.select(t.key, *(F.when(low(f) == "true", 1.0).when(low(f) == "false", 0.0).otherwise(low(f).try_cast("double")).alias(f) for f in t.fields)))
+
+
+def joined_cells(t: KeyedFrame, sep: str = ", ") -> KeyedFrame:
+    """Lists as text; in text, pipes as the separator."""
+    own = lambda f: F.array_join(F.transform(f, lambda x: x.cast("string")), sep) if t.many else F.replace(F.col(f"`{f}`").cast("string"), F.lit("|"), F.lit(sep))
+    return t.with_df(t.df.select(t.key, *(own(f).alias(f) for f in t.fields)), shape="list")
+
+
+def field_classes(t: KeyedFrame) -> DataFrame:
+    """(field, class) by the text of a present value, that of the smallest
+    key: logical, numeric, date or character; null without values."""
+    first = {f: F.min(F.when(F.coalesce(F.get(t.values(f), F.lit(0)).cast("string"), F.lit("")) != "", F.struct(F.col(f"`{t.key}`"), F.get(t.values(f), F.lit(0)).cast("string").alias("v"))))["v"] for f in t.fields}
+    v = F.col("value")
+    kind = F.when(F.lower(v).isin("true", "false"), "logical").when(v.rlike(r"^\s*[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?\s*$"), "numeric").when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "date").when(v.isNotNull(), "character")
+    wide = t.df.agg(*(c.alias(f) for f, c in first.items()))
+    return wide.unpivot([], t.fields, "field", "value").select("field", kind.alias("class"))
+
+
+def permute(df: DataFrame, order: list[int] | dict[int, int]) -> DataFrame:
+    """Columns in the order of their positions, or with pairs swapped."""
+    at = list(range(len(df.columns)))
+    if isinstance(order, dict):
+        for a, b in order.items():
+            at[a], at[b] = at[b], at[a]
+    else:
+        at = order
+    return df.select(*(F.col(f"`{df.columns[i]}`") for i in at))
+
+
+def rekey_lines(t: KeyedFrame, key: str, fields: list[str], zipped: bool = False) -> DataFrame:
+    """As ``rekey``, without merging the rows that meet."""
+    new = t.field(key)
+    rows = t.df.select(F.col(f"`{t.key}`").alias("_was"), *(F.col(f"`{f}`").alias(f"_{f}") for f in fields), F.posexplode(t.values(new)).alias("_i", new))
+    pick = (lambda f: F.coalesce(F.get(f"_{f}", F.col("_i")), F.get(f"_{f}", F.lit(0)))) if zipped else (lambda f: F.col(f"_{f}"))
+    return rows.select(new, *(pick(f).alias(f) for f in fields))
+
+
 def one_hot(t: KeyedFrame, name: str, values: list) -> KeyedFrame:
     own = t.values(name)
     return KeyedFrame(t.df.select(t.key, *(F.array_contains(own, v).alias(str(v)) for v in values)), t.key, [str(v) for v in values], "list")

@@ -5,27 +5,82 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def digest(name: str, options: dict) -> str:
     return hashlib.sha256(json.dumps([name, options], sort_keys=True, default=str).encode()).hexdigest()[:24]
 
 
-def persist(spark: SparkSession, root: str, name: str, options: dict, make: Callable[[], DataFrame], update: bool = False) -> DataFrame:
-    """The frame that ``make`` gives, written once for each name and options.
-    A folder counts as complete when its committer has marked it so."""
-    path = f"{root.rstrip('/')}/{name}-{digest(name, options)}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+def _made_at(spark: SparkSession, path: str) -> float | None:
+    """When a path was last written, in seconds; None where it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if update or not files.exists(where):
-        make().write.mode("overwrite").parquet(path)
+    return files.getFileStatus(where).getModificationTime() / 1000 if files.exists(where) else None
+
+
+def is_fresh(spark: SparkSession, path: str, expiration: float | None = None, check: list[str] = ()) -> bool:
+    """Whether a result is complete (its committer has marked it so), no older
+    than so many seconds, and no older than any of the paths it is made from."""
+    made = _made_at(spark, f"{path}/_SUCCESS")
+    if made is None or (expiration is not None and time.time() - made > expiration):
+        return False
+    return all((at := _made_at(spark, p)) is None or at <= made for p in check)
+
+
+def persist(spark: SparkSession, root: str, name: str, options: dict, make: Callable[[], DataFrame], update: bool = False, expiration: float | None = None, check: list[str] = (), shards: list[str] = ()) -> DataFrame:
+    """The frame that ``make`` gives, written once for each name and options,
+    and again when it isn't fresh. ``shards``: columns whose values become
+    folders, of which a filter on them reads only its own."""
+    path = f"{root.rstrip('/')}/{name}-{digest(name, options)}"
+    if update or not is_fresh(spark, path, expiration, check):
+        make().write.mode("overwrite").partitionBy(*shards).parquet(path)
     return spark.read.parquet(path)
 
 
+class Memo:
+    """Results kept in this session by name: frames in the executors' memory
+    and disks, other values as they are."""
+
+    def __init__(self):
+        self._held: dict[str, object] = {}
+
+    def get(self, name: str, make: Callable[[], object]):
+        if name not in self._held:
+            made = make()
+            self._held[name] = made.persist() if isinstance(made, DataFrame) else made
+        return self._held[name]
+
+    def clear(self) -> None:
+        for made in self._held.values():
+            if isinstance(made, DataFrame):
+                made.unpersist()
+        self._held.clear()
+
+
+def with_cache(cache: DataFrame, ids: DataFrame, key: str, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What the cache has for the ids joined by what ``fetch`` gives for those
+    that it lacks; and these new rows alone, to be appended to it."""
+    wanted = ids.select(key).distinct()
+    new = fetch(wanted.join(cache, key, "left_anti"))
+    return cache.join(wanted, key, "left_semi").unionByName(new), new
+
+
+def prefix_scan(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text starts so; the filter reaches the files' statistics."""
+    return df.where(F.col(column).startswith(prefix))
+
+
+def range_scan(df: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows between two values, both included."""
+    return df.where(F.col(column).between(low, high))
+
+
 @dataclass
 class Task:
     """A named step: ``make(inputs, *results of deps)`` gives a frame."""

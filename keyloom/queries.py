@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from keyloom.frame import KeyedFrame, keyed
 from keyloom.functions import sequence, text
 from keyloom.operators import aggregates as agg
-from keyloom.operators import filters, intervals, joins, load, shape
+from keyloom.operators import filters, intervals, joins, load, ranks, shape
 from keyloom.plans import associations as assoc
-from keyloom.plans.paths import along
-from keyloom.plans.rules import traverse
+from keyloom.plans import tasks
+from keyloom.plans.rules import Only, Rule, Var, traverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,10 +71,12 @@ def q02_load_merge(t):
     return order_lists(t).df.select("o_custkey", *joined("o_orderstatus"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
+@query("SELECT l_partkey, string_agg(l_quantity::INT::VARCHAR, '|' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS l_quantity FROM lineitem GROUP BY 1")
 def q03_load_zipped(t):
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
-    return shape.records(load.merge(t("lineitem"), "l_orderkey", ["l_partkey", "l_quantity"], order)).drop("_i")
+    """Rows with several keys, of which the i-th takes the i-th quantity."""
+    rows = t("lineitem").withColumn("l_quantity", F.col("l_quantity").cast("int"))
+    lists = load.merge(rows, "l_orderkey", ["l_partkey", "l_quantity"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
+    return load.merge_zipped(lists.df, "l_partkey", ["l_quantity"], ["l_orderkey"]).df.select("l_partkey", *joined("l_quantity"))
 
 
 @query("SELECT word, string_agg(p_partkey::VARCHAR, '|' ORDER BY p_partkey) AS p_partkey FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word")
@@ -103,10 +105,13 @@ def q07_one_hot(t):
     return shape.one_hot(order_lists(t), "o_orderstatus", ["F", "O", "P"]).df
 
 
-@query("SELECT field, max(CASE WHEN n_nationkey = 0 THEN v END) AS \"0\", max(CASE WHEN n_nationkey = 1 THEN v END) AS \"1\" FROM (SELECT 'n_name' AS field, n_nationkey, n_name AS v FROM nation UNION ALL SELECT 'n_regionkey', n_nationkey, n_regionkey::VARCHAR FROM nation) GROUP BY field")
+_NATIONS = range(25)
+
+
+@query("SELECT field, " + ", ".join(f'max(CASE WHEN n_nationkey = {n} THEN v END) AS "{n}"' for n in _NATIONS) + " FROM (SELECT 'n_name' AS field, n_nationkey, n_name AS v FROM nation UNION ALL SELECT 'n_regionkey', n_nationkey, n_regionkey::VARCHAR FROM nation) GROUP BY field")
 def q08_transpose(t):
     own = t("nation").withColumn("n_regionkey", F.col("n_regionkey").cast("string"))
-    return shape.transpose(keyed(own, "n_nationkey", ["n_name", "n_regionkey"]), [0, 1]).df
+    return shape.transpose(keyed(own, "n_nationkey", ["n_name", "n_regionkey"]), list(_NATIONS)).df
 
 
 @query("SELECT p_partkey, 'p_size' AS variable, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
@@ -188,14 +193,13 @@ def q21_attach_source_key(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, r_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def q22_attach_path(t):
-    tables = {
-        "lineitem": keyed(t("lineitem").withColumnRenamed("l_orderkey", "order"), "order", ["l_linenumber", "l_partkey"]),
-        "orders": keyed(t("orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer")), "order"),
-        "customer": keyed(t("customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("nation")), "customer"),
-        "nation": keyed(t("nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")), "nation"),
-        "region": keyed(t("region").select(F.col("r_regionkey").alias("region"), "r_name"), "region"),
-    }
-    return along(tables, "lineitem", "r_name", ["order", "l_linenumber", "l_partkey"]).withColumnRenamed("order", "l_orderkey")
+    steps = [
+        (keyed(t("orders"), "o_orderkey", ["o_custkey"]), "l_orderkey"),
+        (keyed(t("customer"), "c_custkey", ["c_nationkey"]), "o_custkey"),
+        (keyed(t("nation"), "n_nationkey", ["n_regionkey"]), "c_nationkey"),
+        (keyed(t("region"), "r_regionkey", ["r_name"]), "n_regionkey"),
+    ]
+    return joins.attach_steps(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), steps).select("l_orderkey", "l_linenumber", "l_partkey", "r_name")
 
 
 @query("SELECT coalesce(c_nationkey, s_nationkey) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
@@ -243,27 +247,37 @@ def q27_translate(t):
 @query("SELECT e.event_id, p.event_id AS b_id FROM events e JOIN events p ON p.event_type = 'purchase' AND e.ts BETWEEN p.ts AND p.ts + INTERVAL 1 HOUR")
 def q28_points_in_ranges(t):
     points = t("events").select("event_id", micros("ts").alias("pos"))
-    return intervals.points_in(points, purchases(t), [], 3_600_000_000).select("event_id", "b_id")
+    return intervals.points_in(points, purchases(t), [], 3_600_000_000, longest=3_600_000_000).select("event_id", "b_id")
 
 
 @query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts <= b.ts + INTERVAL 10 MINUTE AND b.ts <= a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' AND b.event_type = 'purchase'")
 def q29_interval_pairs(t):
     e = t("events").withColumn("at", micros("ts"))
     side = lambda p, kind: e.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(f"{p}_id"), F.col("at").alias(f"{p}_start"), (F.col("at") + 600_000_000).alias(f"{p}_end"))
-    return intervals.overlaps(side("a", "error"), side("b", "purchase"), ["user_id"], 600_000_000).select("a_id", "b_id")
+    return intervals.overlaps(side("a", "error"), side("b", "purchase"), ["user_id"], 600_000_000, longest=600_000_000).select("a_id", "b_id")
+
+
+_ASKED = "(SELECT event_id, user_id, ts FROM events UNION ALL SELECT -1 - event_id, NULL, ts FROM events WHERE event_type = 'error' UNION ALL SELECT -1 - event_id, user_id, NULL FROM events WHERE event_type = 'click')"
 
 
-@query("SELECT e.event_id, max(p.event_id) AS purchase FROM events e LEFT JOIN LATERAL (SELECT event_id FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts < e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) p ON true GROUP BY e.event_id")
+@query(f"SELECT e.event_id, max(p.event_id) AS purchase FROM {_ASKED} e LEFT JOIN LATERAL (SELECT event_id FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts < e.ts ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) p ON true GROUP BY e.event_id")
 def q30_as_of(t):
-    e = t("events").select("event_id", "user_id", micros("ts").alias("at"))
-    right = t("events").where("event_type = 'purchase'").select("user_id", micros("ts").alias("at"), F.col("event_id").alias("purchase"))
-    return intervals.as_of(e, right, "user_id", "at", ["purchase"], 86_400_000_000, strict=True).select("event_id", F.col("_hit.purchase").alias("purchase"))
+    """Besides all events, some without a user and some without a time."""
+    e = t("events").select("event_id", "event_type", "user_id", micros("ts").alias("at"))
+    less = lambda kind, user, at: e.where(F.col("event_type") == kind).select((-1 - F.col("event_id")).alias("event_id"), user.alias("user_id"), at.alias("at"))
+    nothing = F.lit(None).cast("long")
+    asked = e.drop("event_type").unionByName(less("error", nothing, F.col("at"))).unionByName(less("click", F.col("user_id"), nothing))
+    right = e.where("event_type = 'purchase'").select("user_id", "at", F.col("event_id").alias("purchase"))
+    return intervals.as_of(asked, right, "user_id", "at", ["purchase"], 86_400_000_000, strict=True).select("event_id", F.col("_hit.purchase").alias("purchase"))
 
 
-@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE date_diff('day', DATE '1970-01-01', o_orderdate::DATE) IN (9000, 9500, 10000) GROUP BY 1")
+@query("SELECT date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS pos, o_orderkey FROM orders WHERE date_diff('day', DATE '1970-01-01', o_orderdate::DATE) IN (9000, 9500, 10000)")
 def q31_point_lookup(t):
-    days = t("orders").where(F.unix_date(F.to_date("o_orderdate")).isin(9000, 9500, 10000))
-    return load.first_wins(days, "o_custkey", ["o_orderkey"], ["o_orderkey"]).df
+    """Keys at positions, by an index of the positions."""
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    index = t("orders").select("o_orderkey", day.alias("b_start"), day.alias("b_end"))
+    points = t("orders").sparkSession.createDataFrame([(9000,), (9500,), (10000,)], "pos long")
+    return intervals.points_in(points, index, [], 32, longest=0).select("pos", "o_orderkey")
 
 
 @query(f"SELECT l_partkey, {SUM.format('l_quantity')} AS quantity FROM lineitem GROUP BY 1")
@@ -290,12 +304,13 @@ def q35_counts(t):
 
 @query("SELECT string_split(p_name, ' ')[1] AS word, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
 def q36_first_word_key(t):
-    return load.first_wins(t("part").select(F.substring_index("p_name", " ", 1).alias("word"), "p_partkey"), "word", ["p_partkey"], ["p_partkey"]).df
+    words = t("part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("word"))
+    return agg.value_index(keyed(words, "p_partkey", ["word"])).withColumnRenamed("value", "word")
 
 
-@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal::DECIMAL(20,4))::DOUBLE, 2) AS total, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(CASE WHEN count(*) >= 3 THEN stddev_samp(c_acctbal) END, 4) AS sd, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal::DECIMAL(20,4))::DOUBLE, 2) AS total, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(CASE WHEN count(*) >= 3 THEN var_samp(c_acctbal) END, 1) AS variance, round(CASE WHEN count(*) >= 3 THEN stddev_samp(c_acctbal) END, 4) AS sd, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1")
 def q37_statistics(t):
-    return agg.statistics(t("customer"), "c_nationkey", "c_acctbal").withColumns({"total": F.round("total", 2), **{c: F.round(c, 4) for c in ("mean", "median", "sd")}})
+    return agg.statistics(t("customer"), "c_nationkey", "c_acctbal").withColumns({"total": F.round("total", 2), "variance": F.round("variance", 1), **{c: F.round(c, 4) for c in ("mean", "median", "sd")}})
 
 
 def _activity(t):
@@ -307,12 +322,12 @@ _ISLANDS = "WITH r AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + 6000000
 
 @query(_ISLANDS + 'SELECT user_id, "start", "end" FROM c')
 def q38_collapse_ranges(t):
-    return intervals.collapse(_activity(t), ["user_id"])
+    return intervals.collapse(_activity(t), ["user_id"], width=86_400_000_000)
 
 
 @query(_ISLANDS + 'SELECT user_id, sum("end" - "start" + 1)::BIGINT AS total_length FROM c GROUP BY 1')
 def q38b_total_length(t):
-    return intervals.total_length(_activity(t), ["user_id"])
+    return intervals.total_length(_activity(t), ["user_id"], width=86_400_000_000)
 
 
 @query("SELECT c_mktsegment, max((o_orderstatus = 'F')::INT) AS \"F\", max((o_orderstatus = 'O')::INT) AS \"O\", max((o_orderstatus = 'P')::INT) AS \"P\" FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -326,10 +341,17 @@ def q40_adjacency(t):
     return assoc.adjacency(assoc.edges(t("lineitem"), "l_suppkey", "l_partkey"))
 
 
-@query("WITH p AS (SELECT DISTINCT p_partkey, p_brand FROM part), c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48) SELECT p_brand, count(*) AS good, count(l_partkey) AS k, (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p JOIN c ON p_partkey = l_partkey) AS drawn FROM p LEFT JOIN c ON p_partkey = l_partkey GROUP BY 1")
+_LOG_CHOOSE = "(lgamma({0} + 1.0) - lgamma({1} + 1.0) - lgamma({0} - {1} + 1.0))"
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT p_partkey, p_brand FROM part), c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48), "
+    "n AS (SELECT p_brand, count(*) AS good, count(l_partkey) AS k, (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p JOIN c ON p_partkey = l_partkey) AS drawn FROM p LEFT JOIN c ON p_partkey = l_partkey GROUP BY 1) "
+    f"SELECT *, round(least(1.0, list_sum(list_transform(range(k, least(good, drawn) + 1), lambda i: exp({_LOG_CHOOSE.format('good', 'i')} + {_LOG_CHOOSE.format('(total - good)', '(drawn - i)')} - {_LOG_CHOOSE.format('total', 'drawn')})))), 6) AS p_value FROM n"
+)
 def q41_enrichment(t):
     chosen = t("lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
-    return agg.enrichment(t("part"), "p_partkey", "p_brand", chosen).drop("p_value")
+    return agg.enrichment(t("part"), "p_partkey", "p_brand", chosen).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("SELECT click, purchase, \"view\", count(*) AS n FROM (SELECT user_id, max((event_type = 'click')::INT) AS click, max((event_type = 'purchase')::INT) AS purchase, max((event_type = 'view')::INT) AS \"view\" FROM events GROUP BY 1) WHERE click + purchase + \"view\" > 0 GROUP BY ALL")
@@ -337,15 +359,16 @@ def q42_venn(t):
     return agg.memberships(t("events"), "user_id", "event_type", ["click", "purchase", "view"])
 
 
-@query("WITH a AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey % 7 = 0 AND l_quantity > 45), b AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey % 5 = 0 AND l_quantity > 45) SELECT (SELECT count(*) FROM a WHERE l_suppkey IN (FROM b)) AS common, (SELECT count(*) FROM a WHERE l_suppkey NOT IN (FROM b)) AS only_first, (SELECT count(*) FROM b WHERE l_suppkey NOT IN (FROM a)) AS only_second")
+@query("WITH s AS (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey), a AS (SELECT l_suppkey FROM s WHERE p_brand = 'Brand#1'), b AS (SELECT l_suppkey FROM s WHERE p_brand = 'Brand#2') SELECT (SELECT count(*) FROM a WHERE l_suppkey IN (FROM b)) AS common, (SELECT count(*) FROM a WHERE l_suppkey NOT IN (FROM b)) AS only_first, (SELECT count(*) FROM b WHERE l_suppkey NOT IN (FROM a)) AS only_second")
 def q43_compare_lists(t):
-    l = t("lineitem").where("l_quantity > 45")
-    return agg.compare(l.where("l_partkey % 7 = 0"), l.where("l_partkey % 5 = 0"), "l_suppkey")
+    """The suppliers of two brands, over all lines."""
+    sold = lambda brand: t("lineitem").join(t("part").where(F.col("p_brand") == brand), F.col("p_partkey") == F.col("l_partkey"))
+    return agg.compare(sold("Brand#1"), sold("Brand#2"), "l_suppkey")
 
 
-@query("SELECT p_partkey, round(row_number() OVER (ORDER BY p_retailprice, p_partkey) / (SELECT count(*) FROM part), 9) AS rank FROM part")
+@query("SELECT p_partkey, p_name, p_type, round(row_number() OVER (ORDER BY p_retailprice, p_partkey) / (SELECT count(*) FROM part), 9) AS rank FROM part")
 def q44_ranks(t):
-    return agg.rank_fraction(t("part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey").select("p_partkey", F.round("rank", 9).alias("rank"))
+    return agg.rank_fraction(t("part"), "p_retailprice", "p_partkey").select("p_partkey", "p_name", "p_type", F.round("rank", 9).alias("rank"))
 
 
 @query("SELECT c_custkey, round((c_acctbal - m) / s, 6) AS z, round((c_acctbal - lo) / (hi - lo), 6) AS unit FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)")
@@ -353,31 +376,31 @@ def q45_scaled(t):
     return agg.scaled(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", F.round("z", 6).alias("z"), F.round("unit", 6).alias("unit"))
 
 
-@query("SELECT p_partkey, (n % 7)::BIGINT AS robin, (n // 7)::BIGINT AS block FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)")
+@query("SELECT p_partkey, p_name, p_type, (n % 7)::BIGINT AS robin, (n // 7)::BIGINT AS block FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)")
 def q46_chunks(t):
-    return agg.chunks(t("part").select("p_partkey"), ["p_partkey"], 7)
+    return agg.chunks(t("part").select("p_partkey", "p_name", "p_type"), ["p_partkey"], 7)
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25 OFFSET 25")
 def q47_page(t):
-    return agg.page(t("customer").select("c_custkey", "c_acctbal"), 2, 25, ["c_acctbal", "c_custkey"])
+    return ranks.page(t("customer").select("c_custkey", "c_acctbal"), 2, 25, ["c_acctbal", "c_custkey"])
 
 
 @query("WITH r AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + 600000000 AS e FROM events) SELECT a.event_id, count(b.event_id) AS depth FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.s < a.s AND b.e >= a.s GROUP BY 1")
 def q48_overlap_depth(t):
     rows = t("events").select("event_id", "user_id", micros("ts").alias("start"), (micros("ts") + 600_000_000).alias("end"))
-    return intervals.depth(rows, ["user_id"]).select("event_id", "depth")
+    return intervals.depth(rows, ["user_id"], width=86_400_000_000).select("event_id", "depth")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 20")
 def q49_sort_abs(t):
-    return t("customer").select("c_custkey", "c_acctbal").orderBy(F.desc(F.abs("c_acctbal")), "c_custkey").limit(20)
+    return ranks.sort_by(keyed(t("customer"), "c_custkey", ["c_acctbal"]), "c_acctbal", descending=True, absolute=True).limit(20)
 
 
 @query("WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000), b AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000) SELECT 'union' AS op, k FROM (FROM a UNION FROM b) UNION ALL SELECT 'intersect', k FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'except', k FROM (FROM a EXCEPT FROM b)")
 def q50_set_ops(t):
     a, b = t("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))
-    parts = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
+    parts = {"union": ranks.union(a, b), "intersect": ranks.intersection(a, b), "except": ranks.difference(a, b)}
     tagged = [d.select(F.lit(n).alias("op"), "k") for n, d in parts.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
@@ -409,6 +432,9 @@ def q53_undirected(t):
     return assoc.undirected(_edges(t).select("source", "target"))
 
 
+_C, _O, _P = Var("c"), Var("o"), Var("p")
+
+
 def _kb(t):
     kb = assoc.KnowledgeBase()
     kb.register("placed", lambda: assoc.edges(t("orders"), "o_custkey", "o_orderkey"))
@@ -421,57 +447,100 @@ def _kb(t):
 def q54_kb_subset(t):
     named = t("customer").where("c_custkey in (5, 17, 23)").select("c_name")
     targets = t("supplier").where("s_suppkey < 50").select("s_suppkey")
-    kb = _kb(t)
-    ids = kb.identify("buys", named)
-    return assoc.between(kb.index("buys"), ids.select(F.col("id").cast("long")), targets).select("source", "target")
+    return _kb(t).subset("buys", named, targets).select("source", "target")
 
 
 @query("SELECT DISTINCT o_custkey AS c, o_orderkey AS o, l_partkey AS p FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
 def q55_path_rules(t):
-    return traverse(_kb(t), ["?c placed ?o", "?o contains ?p - flag=R"])
+    return traverse(_kb(t), [Rule(_C, "placed", _O), Rule(_O, "contains", _P, {"flag": "R"})])
 
 
 @query("SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def q56_path_block(t):
-    return traverse(_kb(t), ["?c placed ?o", ("o", ["?o contains ?p - flag=R"])])
+    return traverse(_kb(t), [Rule(_C, "placed", _O), Only(_O, (Rule(_O, "contains", _P, {"flag": "R"}),))])
+
 
+_SPANS = {"1h 30m": 5400, "-2d": -172800, "1:02:03": 3723, "3w": 1814400, "2mo": 5356800, "45": 45, "5'30''": 330}
 
-@query("SELECT * FROM (VALUES ('1h 30m', 5400), ('-2d', -172800), ('1:02:03', 3723), ('3w', 1814400), ('2mo', 5356800), ('45', 45)) v(span, seconds)")
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(k.replace("'", "''"), v) for k, v in _SPANS.items()) + ") v(span, seconds) "
+    "UNION ALL SELECT p_size || 'h ' || (p_partkey % 60) || 'min', (p_size * 3600 + (p_partkey % 60) * 60)::INT FROM part "
+    "UNION ALL SELECT '-' || p_size || ':' || lpad((p_partkey % 60)::VARCHAR, 2, '0') || ':07', (-(p_size * 3600 + (p_partkey % 60) * 60 + 7))::INT FROM part"
+)
 def q57_timespan(t):
-    rows = t("region").sparkSession.createDataFrame([(x,) for x in ("1h 30m", "-2d", "1:02:03", "3w", "2mo", "45")], "span string")
-    return rows.select("span", text.timespan(F.col("span")).cast("int").alias("seconds"))
+    """Spans as they are written, and two made from each part's size and key."""
+    said = t("part").sparkSession.createDataFrame([(x,) for x in _SPANS], "span string")
+    minutes = F.col("p_partkey") % 60
+    plain = t("part").select(F.concat(F.col("p_size").cast("string"), F.lit("h "), minutes.cast("string"), F.lit("min")).alias("span"))
+    clock = t("part").select(F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"), F.lit(":07")).alias("span"))
+    return said.unionByName(plain).unionByName(clock).select("span", text.timespan(F.col("span")).cast("int").alias("seconds"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host, md5(replace(replace(url, '/', '·'), '~', '-')) AS digest FROM pages")
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host, md5(replace(replace(url, '/', '·'), '~', '-')) AS digest, coalesce(regexp_extract(url || '&', '[?&]id=([^&#]*)', 1), '') AS id, len(regexp_extract_all(regexp_extract(url, '[?]([^#]*)', 1), '[^&]+'))::INT AS n_params FROM pages")
 def q58_text_functions(t):
-    return t("pages").select("page_id", text.url_host(F.col("url")).alias("host"), F.md5(text.safe_name(F.col("url"), 100000)).alias("digest"))
+    return t("pages").select("page_id", text.url_host(F.col("url")).alias("host"), F.md5(text.safe_name(F.col("url"), 100000)).alias("digest"), F.coalesce(F.element_at(text.query_map(F.col("url")), "id"), F.lit("")).alias("id"), F.size(text.query_map(F.col("url"))).alias("n_params"))
+
+
+_HGVS = {"p.Val600Glu": "V600E", "p.Arg97ProfsTer23": "R97P", "p.Lys23del": "K23Indel", "p.Trp24Ter": "W24*", "c.5A>G": None, "p.A2216>?": "A2216Indel", "p.*588fs?": "*588Frameshift", "p.R132?": "R132?", "p.(A443)fs*?": None, "p.Val600fs": "V600Frameshift"}
+_LONG, _SHORT = list(sequence.AMINO), list(sequence.AMINO.values())
+_SQL_LIST = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
 
 
-@query("SELECT * FROM (VALUES ('p.Val600Glu', 'V600E'), ('p.Arg97ProfsTer23', 'R97Frameshift'), ('p.Lys23del', 'K23Indel'), ('p.Trp24Ter', 'W24*'), ('c.5A>G', NULL)) v(hgvs, short)")
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in _HGVS.items()) + ") v(hgvs, short) "
+    f"UNION ALL SELECT 'p.' || {_SQL_LIST(_LONG)}[p_size % 21 + 1] || p_partkey || {_SQL_LIST(_LONG)}[p_partkey % 21 + 1], {_SQL_LIST(_SHORT)}[p_size % 21 + 1] || p_partkey || {_SQL_LIST(_SHORT)}[p_partkey % 21 + 1] FROM part "
+    f"UNION ALL SELECT 'p.' || {_SQL_LIST(_SHORT)}[p_size % 21 + 1] || p_partkey || 'fs*' || p_size, {_SQL_LIST(_SHORT)}[p_size % 21 + 1] || p_partkey || 'Frameshift' FROM part"
+)
 def q59_hgvs(t):
-    rows = t("region").sparkSession.createDataFrame([(x,) for x in ("p.Val600Glu", "p.Arg97ProfsTer23", "p.Lys23del", "p.Trp24Ter", "c.5A>G")], "hgvs string")
-    return rows.select("hgvs", sequence.protein_change(F.col("hgvs")).alias("short"))
+    """Changes as they are written, and two made from each part's size and key."""
+    said = t("part").sparkSession.createDataFrame([(x,) for x in _HGVS], "hgvs string")
+    name = lambda names, c: F.get(F.array(*map(F.lit, names)), (F.col(c) % 21).cast("int"))
+    at = F.col("p_partkey").cast("string")
+    swapped = t("part").select(F.concat(F.lit("p."), name(_LONG, "p_size"), at, name(_LONG, "p_partkey")).alias("hgvs"))
+    shifted = t("part").select(F.concat(F.lit("p."), name(_SHORT, "p_size"), at, F.lit("fs*"), F.col("p_size").cast("string")).alias("hgvs"))
+    return said.unionByName(swapped).unionByName(shifted).select("hgvs", sequence.protein_change(F.col("hgvs")).alias("short"))
+
+
+#: A strand for each customer: the digits of its name and balance as bases.
+_STRAND = "translate(regexp_replace(c_name || c_acctbal::VARCHAR, '[^0-9]', '', 'g'), '0123456789', 'ACGTACGTAC')"
+_CODON = "16 * (instr('TCAG', substr(dna, i, 1)) - 1) + 4 * (instr('TCAG', substr(dna, i + 1, 1)) - 1) + instr('TCAG', substr(dna, i + 2, 1))"
 
 
-@query("SELECT * FROM (VALUES ('ATGGCC', 'MA', 'GGCCAT'), ('TAAnnn', '*X', 'nnnTTA'), ('AUGA', 'M', 'TCAT')) v(dna, protein, opposite)")
+@query(
+    "SELECT * FROM (VALUES ('ATGGCC', 'MA', 'GGCCAT'), ('TAAnnn', '*X', 'nnnTTA'), ('AUGA', 'M', 'TCAT')) v(dna, protein, opposite) UNION ALL "
+    f"SELECT dna, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: substr('{sequence.CODE}', ({_CODON})::BIGINT, 1)), ''), translate(reverse(dna), 'ACGT', 'TGCA') FROM (SELECT {_STRAND} AS dna FROM customer)"
+)
 def q60_codons(t):
-    rows = t("region").sparkSession.createDataFrame([(x,) for x in ("ATGGCC", "TAAnnn", "AUGA")], "dna string")
+    said = t("customer").sparkSession.createDataFrame([(x,) for x in ("ATGGCC", "TAAnnn", "AUGA")], "dna string")
+    own = t("customer").select(F.translate(F.regexp_replace(F.concat(F.col("c_name"), F.col("c_acctbal").cast("string")), "[^0-9]", ""), "0123456789", "ACGTACGTAC").alias("dna"))
+    rows = said.unionByName(own)
     return rows.select("dna", sequence.translate_codons(F.col("dna")).alias("protein"), sequence.reverse_complement(F.col("dna")).alias("opposite"))
 
 
-_MUTATIONS = ("chr2:10:A", "10:5:-", "X:3:---", "2:9:+T", "MT:1:G")
+#: A mutation for each part: a new base, inserted bases or deleted ones.
+_MUTATION = "'chr' || ['1', '2', '10', 'X', 'Y', 'MT'][p_size % 6 + 1] || ':' || p_partkey || ':' || CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN '+' || repeat('T', p_size) ELSE repeat('-', p_size + 1) END"
 
 
-@query("SELECT * FROM (VALUES ('chr2:10:A', '2', 9, 10, 2), ('10:5:-', '10', 4, 5, 10), ('X:3:---', 'X', 2, 5, 23), ('2:9:+T', '2', 8, 9, 2), ('MT:1:G', 'MT', 0, 1, 24)) v(m, chr, \"start\", \"end\", rank)")
+def mutations(t) -> DataFrame:
+    names = F.array(*map(F.lit, ("1", "2", "10", "X", "Y", "MT")))
+    which = F.col("p_partkey") % 3
+    allele = F.when(which == 0, "A").when(which == 1, F.concat(F.lit("+"), F.repeat(F.lit("T"), F.col("p_size")))).otherwise(F.repeat(F.lit("-"), F.col("p_size") + 1))
+    return t("part").select(F.concat(F.lit("chr"), F.get(names, (F.col("p_size") % 6).cast("int")), F.lit(":"), F.col("p_partkey").cast("string"), F.lit(":"), allele).alias("m"))
+
+
+@query(
+    f"SELECT m, split_part(m, ':', 1)[4:] AS chr, split_part(m, ':', 2)::BIGINT - 1 AS \"start\", split_part(m, ':', 2)::BIGINT - 1 + CASE substr(split_part(m, ':', 3), 1, 1) WHEN '-' THEN length(split_part(m, ':', 3)) - 1 ELSE length(split_part(m, ':', 3)) END AS \"end\", "
+    f"CASE split_part(m, ':', 1)[4:] WHEN 'X' THEN 23 WHEN 'Y' THEN 22 WHEN 'MT' THEN 24 ELSE try_cast(split_part(m, ':', 1)[4:] AS INT) END AS rank FROM (SELECT {_MUTATION} AS m FROM part)"
+)
 def q62_mutations_bed(t):
-    rows = t("region").sparkSession.createDataFrame([(x,) for x in _MUTATIONS], "m string")
     bed = sequence.mutation_bed(F.col("m"))
-    return rows.select("m", bed["chr"].alias("chr"), bed["start"].cast("int").alias("start"), bed["end"].cast("int").alias("end"), sequence.chromosome_rank(bed["chr"]).alias("rank"))
+    return mutations(t).select("m", bed["chr"].alias("chr"), bed["start"].alias("start"), bed["end"].alias("end"), sequence.chromosome_rank(bed["chr"]).alias("rank"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#00000001%'")
 def q63_prefix_scan(t):
-    return t("customer").where(F.col("c_name").startswith("Customer#00000001")).select("c_custkey", "c_name")
+    return tasks.prefix_scan(t("customer"), "c_name", "Customer#00000001").select("c_custkey", "c_name")
 
 
 @query("SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, count(*) AS n FROM lineitem GROUP BY 1")
@@ -512,6 +581,9 @@ def q70_transpose_segments(t):
     return shape.transpose(keyed(counts, "n_nationkey", segments), nations, "segment").df
 
 
+import keyloom.more_queries  # noqa: E402, F401  (registers the rest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

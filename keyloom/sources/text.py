@@ -8,12 +8,15 @@ is Spark's text source and column functions.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.frame import KeyedFrame
+from keyloom.frame import KeyedFrame, keyed
+from keyloom.operators.aggregates import numbered
 from keyloom.operators.load import first_wins, merge, merge_zipped
+from keyloom.operators.shape import records, to_double
 
 
 def option_value(text: str):
@@ -55,13 +58,19 @@ def parse_open_string(text: str) -> dict:
     return out
 
 
+def pattern(sep: str) -> str:
+    """A separator as a regular expression: as it is between slashes, else
+    literal."""
+    return sep[1:-1] if len(sep) > 2 and sep[0] == sep[-1] == "/" else re.escape(sep)
+
+
 def parse_header(lines: list[str], sep: str = "\t", mark: str = "#") -> tuple[dict, list[str] | None]:
     """Options, and the names in the header line if there is one."""
     options: dict = {}
     if lines and lines[0].startswith("#: "):
         options, lines = parse_options(lines[0][3:]), lines[1:]
     if lines and (not mark or lines[0].startswith(mark)):
-        return options, [x.strip() for x in lines[0][len(mark) :].split(options.get("sep", sep))]
+        return options, [x.strip() for x in re.split(pattern(options.get("sep", sep)), lines[0][len(mark) :])]
     return options, None
 
 
@@ -86,29 +95,49 @@ def open_table(
     grep: str | None = None,
     invert_grep: bool = False,
     mark: str = "#",
+    fixed_grep: bool = False,
+    head: int | None = None,
+    select: Callable[[Column], Column] | None = None,
+    fix: Callable[[Column], Column] | None = None,
+    spec: str | None = None,
 ) -> KeyedFrame:
-    """``how``: merge, zipped or first, for rows that share a key."""
+    """``how``: merge, zipped or first, for rows that share a key. ``sep`` and
+    ``sep2`` are literal, or regular expressions between slashes. ``fix``
+    rewrites a line, ``select`` keeps those it holds for, ``head`` the first so
+    many in file order. ``spec``: key, fields and options as text, which
+    count before the arguments."""
+    said = parse_open_string(spec) if spec else {}
+    shape, key_field, fields = said.get("type", shape), said.get("key_field") or key_field, said.get("fields", fields)
+    cast, how = said.get("cast", cast), "zipped" if said.get("zipped") or said.get("one2one") else "first" if said.get("merge") is False else how
+    cast = {"to_i": "long", "to_f": "double"}.get(cast, cast)
     lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(2).collect()]
-    if mark and head and not head[0].startswith(mark) and len(lines.inputFiles()) > 1:
+    top = [r.value for r in lines.limit(2).collect()]
+    if mark and top and not top[0].startswith(mark) and len(lines.inputFiles()) > 1:
         # A folder of several files: the header is in one of them.
         marked = sorted((r.value for r in lines.where(F.col("value").startswith(mark)).limit(2).collect()), key=lambda x: not x.startswith("#: "))
-        head = marked or head
-    options, names = parse_header(head, sep, mark)
-    shape, sep, sep2 = options.get("type", shape), options.get("sep", sep), options.get("sep2", sep2)
+        top = marked or top
+    options, names = parse_header(top, sep, mark)
+    shape, sep, sep2 = said.get("type") or options.get("type", shape), options.get("sep", sep), options.get("sep2", sep2)
     if names is None:
-        names = ["ID", *(f"F{i}" for i in range(1, len(head[0].split(sep)) if head else 1))]
-    header = mark + sep.join(names) if not mark else None
+        names = ["ID", *(f"F{i}" for i in range(1, len(re.split(pattern(sep), top[0])) if top else 1))]
+    header = top[int(top[0].startswith("#: "))] if top and not mark else None
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != (header or "")) & (F.col("value") != ""))
     if grep:
-        holds = F.col("value").rlike(grep)
+        holds = F.col("value").contains(grep) if fixed_grep else F.col("value").rlike(grep)
         rows = rows.where(~holds if invert_grep else holds)
+    rows = rows.withColumns({"_file": F.input_file_name(), "_id": F.monotonically_increasing_id()})
+    if fix:
+        rows = rows.withColumn("value", fix(F.col("value")))
+    if select:
+        rows = rows.where(F.coalesce(select(F.col("value")), F.lit(False)))
+    if head is not None:
+        rows = rows.orderBy("_file", "_id").limit(head)
     key = key_field or names[0]
     own = fields or [n for n in names if n != key]
-    parts = F.split("value", re.escape(sep), -1)
-    rows = rows.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_id"), parts.alias("_p"))
+    parts = F.split("value", pattern(sep), -1)
+    rows = rows.select("_file", "_id", parts.alias("_p"))
     cell = lambda n: F.get("_p", F.lit(names.index(n)))
-    split = lambda c: F.when(c == "", F.array()).otherwise(F.split(c, re.escape(sep2), -1))
+    split = lambda c: F.when(c == "", F.array()).otherwise(F.split(c, pattern(sep2), -1))
     order = ["_file", "_id"]
     to = (lambda c: number(c, cast)) if cast else (lambda c: c)
     if shape in ("single", "list"):
@@ -119,7 +148,7 @@ def open_table(
     if shape == "flat":
         rest = F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))) if not fields else F.array(*(cell(f) for f in own))
         cells, own = {own[0]: F.flatten(F.transform(rest, split))}, own[:1]
-    wide = rows.select(*order, F.array_distinct(F.split(cell(key), re.escape(sep2), -1)).alias(key), *(c.alias(f) for f, c in cells.items()))
+    wide = rows.select(*order, F.array_distinct(F.split(cell(key), pattern(sep2), -1)).alias(key), *(c.alias(f) for f, c in cells.items()))
     if how in ("zipped", "first"):
         t = merge_zipped(wide, key, own, order, how == "first")
     else:
@@ -138,14 +167,124 @@ def header_lines(t: KeyedFrame, sep: str = "\t") -> list[str]:
 
 
 def write_table(t: KeyedFrame, path: str, sep: str = "\t", sep2: str = "|") -> None:
-    """Text files of rows, sorted by key over all files; the header is the
-    first of them."""
+    """Text files of rows, sorted by key over all files. The header is in the
+    first of them: a union keeps its sides' partitions in order, and a task
+    names its file by its partition's number."""
     spark = t.df.sparkSession
-    spark.createDataFrame([(x,) for x in header_lines(t, sep)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    lines_of(t.with_df(t.df.orderBy(t.key)), sep, sep2).write.mode("append").text(path)
+    header = spark.createDataFrame([(x,) for x in header_lines(t, sep)], "value string").coalesce(1)
+    header.union(lines_of(t.with_df(t.df.orderBy(t.key)), sep, sep2)).write.mode("overwrite").text(path)
+
+
+def lines(t: KeyedFrame, sep: str = "\t", sep2: str = "|"):
+    """Header and rows, one after the other, as they come from the tasks."""
+    yield from header_lines(t, sep)
+    for r in lines_of(t, sep, sep2).toLocalIterator(prefetchPartitions=True):
+        yield r.value
+
+
+def unmerged(t: KeyedFrame, expand: bool = False) -> KeyedFrame:
+    """A row for each zipped record under its key."""
+    return KeyedFrame(records(t, expand).drop("_i"), t.key, t.fields, "list")
+
+
+def json_lines(t: KeyedFrame, as_records: bool = False, snake: bool = False) -> DataFrame:
+    """One JSON object a row: ``{key: {field: ...}}``, or a record with the
+    key as a field. ``snake``: field names in snake case."""
+    plain = (lambda n: re.sub(r"[\s-]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", n))).lower()) if snake else (lambda n: n)
+    cells = [F.col(f"`{f}`").alias(plain(f)) for f in t.fields]
+    options = {"ignoreNullFields": "false"}
+    if as_records:
+        return t.df.select(F.to_json(F.struct(F.col(f"`{t.key}`").alias(plain(t.key)), *cells), options).alias("value"))
+    return t.df.select(F.to_json(F.create_map(F.col(f"`{t.key}`").cast("string"), F.struct(*cells)), options).alias("value"))
+
+
+def info(t: KeyedFrame) -> dict:
+    """Key, fields, shape, options and the number of rows."""
+    return {"key": t.key, "fields": list(t.fields), "shape": t.shape, "options": dict(t.meta), "rows": t.df.count()}
+
+
+def record(t: KeyedFrame, key, digits: int | None = None) -> DataFrame:
+    """The row of a key, numbers rounded to so many digits."""
+    own = t.df.where(F.col(f"`{t.key}`") == key)
+    kinds = dict(own.dtypes)
+    return own.withColumns({f: F.round(F.col(f"`{f}`"), digits) for f in t.fields if kinds[f] in ("double", "float")}) if digits is not None else own
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, **options) -> KeyedFrame:
-    """The first column is the key; without a header the columns are numbered."""
+def read_csv(spark: SparkSession, path: str, header: bool = True, shape: str = "list", key_field: str | None = None, fields: list[str] | None = None, cast: str | None = None, how: str = "first", **options) -> KeyedFrame:
+    """The first column is the key, or ``key_field``; without a header the keys
+    are ``row-0``, ``row-1``, ... in file order. Rows that share a key:
+    ``how`` as in ``open_table``, for shape double; else the first stays."""
     df = spark.read.csv(path, header=header, multiLine=True, escape='"', **options)
-    return KeyedFrame(df, df.columns[0], df.columns[1:], "list", {})
+    order = ["_file", "_id"]
+    df = df.withColumns({"_file": F.input_file_name(), "_id": F.monotonically_increasing_id()})
+    names = [c for c in df.columns if c not in order]
+    if not header:
+        df = numbered(df, order).withColumn("key", F.concat(F.lit("row-"), (F.col("_n") - 1).cast("string"))).drop("_n")
+    key = key_field or ("key" if not header else names[0])
+    own = fields or [n for n in names if n != key]
+    to = (lambda c: number(c, cast)) if cast else (lambda c: c)
+    rows = df.select(*order, F.col(f"`{key}`").alias(key), *(to(F.col(f"`{f}`")).alias(f) for f in own))
+    t = merge(rows, key, own, order) if shape == "double" and how == "merge" else first_wins(rows, key, own, order)
+    if shape == "double" and how != "merge":
+        t = to_double(t)
+    return t.with_df(t.df, shape=shape, meta={})
+
+
+def open_source(spark: SparkSession, source, **options) -> KeyedFrame:
+    """A keyed table from whatever it is: a keyed table, a frame (its first
+    column is the key), a dict, a list of keys, or a path (by its ending:
+    Parquet, CSV or JSON, else text, also compressed)."""
+    if isinstance(source, KeyedFrame):
+        return source
+    if isinstance(source, DataFrame):
+        return keyed(source, options.pop("key_field", source.columns[0]), **options)
+    if isinstance(source, dict):
+        key, fields = options.get("key_field", "ID"), options.get("fields")
+        rows = [(k, *(v if isinstance(v, (list, tuple)) else [v])) for k, v in source.items()]
+        fields = fields or [f"F{i}" for i in range(1, len(rows[0]))]
+        many = bool(rows) and isinstance(rows[0][1], (list, tuple))
+        return KeyedFrame(spark.createDataFrame(rows, [key, *fields]), key, list(fields), "double" if many else "list")
+    if isinstance(source, (list, tuple, set)):
+        return KeyedFrame(spark.createDataFrame([(x,) for x in source], [options.get("key_field", "ID")]), options.get("key_field", "ID"), [], "list")
+    plain = re.sub(r"\.(gz|bz2|zst|snappy|lz4)$", "", str(source).rstrip("/"))
+    if plain.endswith(".parquet"):
+        df = spark.read.parquet(source)
+        return keyed(df, options.pop("key_field", df.columns[0]), **options)
+    if plain.endswith((".json", ".jsonl")):
+        df = spark.read.json(source)
+        return keyed(df, options.pop("key_field", df.columns[0]), **options)
+    if plain.endswith(".csv"):
+        return read_csv(spark, source, **options)
+    return open_table(spark, source, **options)
+
+
+#: How a stored result of each kind is read and written.
+KINDS = ("tsv", "csv", "json", "parquet", "text", "binary", "list", "integer", "float", "boolean", "string")
+
+
+def load_result(spark: SparkSession, path: str, kind: str):
+    """A stored result: a keyed table or frame, or for ``list``, a frame of
+    lines; ``integer``, ``float``, ``boolean`` and ``string`` are values."""
+    if kind in ("tsv", "csv"):
+        return open_table(spark, path) if kind == "tsv" else read_csv(spark, path)
+    if kind in ("integer", "float", "boolean", "string"):
+        text = "\n".join(r.value for r in spark.read.text(path).limit(1000).collect()).strip()
+        return {"integer": int, "float": float, "boolean": lambda x: x == "true", "string": str}[kind](text)
+    if kind == "binary":
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {KINDS}")
+    return getattr(spark.read, "text" if kind == "list" else kind)(path)
+
+
+def save_result(spark: SparkSession, path: str, kind: str, content) -> None:
+    """The inverse; Spark's committer shows a result only when it is whole."""
+    if kind == "tsv":
+        write_table(content, path)
+    elif kind in ("integer", "float", "boolean", "string"):
+        shown = str(content).lower() if kind == "boolean" else str(content)
+        spark.createDataFrame([(shown,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif kind in KINDS and kind != "binary":
+        getattr(content.write.mode("overwrite"), "text" if kind == "list" else kind)(path)
+    else:
+        raise ValueError(f"{kind} can't be written")
