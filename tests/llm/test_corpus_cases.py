@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from keyloom.llm import byte_bpe, hnsw, language_id, license_scan, packing, quality_rules, reply_trees, simhash, toxicity, url_lists
+from keyloom.llm import byte_bpe, hnsw, language_id, license_scan, packing, quality_rules, reply_trees, simhash, toxicity, url_lists, vectext
 from keyloom.llm import queries as corpus
+from keyloom.llm.common import lowest_by_hash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, node long, n_words long, task long, _text string, _row string, count long, kept boolean, score double"
 LONG = "The quick brown fox is under the MIT license today. " * 4000
@@ -125,11 +128,132 @@ def test_pipeline(spark):
     assert 0 < len({r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}) < docs.count()
 
 
-@pytest.mark.xfail(reason="open: 2 of the 11 documents labelled toxic pass the stage on sf0.001", strict=False)
-def test_pipeline_toxic(spark):
+def test_packed_nothing(spark, docs):
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    kept = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
-    labels = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
-    assert len(kept & labels) <= 0.1 * len(labels)
+    assert corpus_pipeline.packed(spark, docs.limit(0), "").collect() == []
+
+
+def test_language_repeats(spark):
+    """An id with two languages isn't learned from; repeats of an id count once."""
+    rows = [(i, f"the and of {'abc'[i % 3]}", "en") for i in range(6)] + [(i, f"der und die {'xyz'[i % 3]}", "de") for i in range(6, 12)]
+    rows += [(0, "the and of a", "en")] * 50 + [(20, "the and of", "de"), (20, "the and of", "en")] + [(7, "another und text", "de")]
+    own = lowest_by_hash(spark.createDataFrame(rows, "k long, t string, lang string"), "k", "lang", 1000).collect()
+    assert sorted((r.k, r.lang) for r in own) == [(i, "en" if i < 6 else "de") for i in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, "k long, t string, lang string"), "k", "t", "lang", F.lit(True))
+    assert model.languages == ["de", "en"] and model.temperature == 1.0
+
+
+def test_lowest_by_hash(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"))
+    got = lowest_by_hash(df, "id", "y", 300).collect()
+    assert Counter(r.y for r in got) == {0: 300, 1: 300}
+    for y in (0, 1):
+        order = [r.id for r in df.where(f"y = {y}").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.xxhash64("id"), "id").limit(300).collect()]
+        assert [r.id for r in sorted((r for r in got if r.y == y), key=lambda r: r.turn)] == order
+
+
+def alternating(n):
+    """A word and its complement whose hashes agree, whatever the multiplier."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_hash():
+    a, b = alternating(4096)
+    block = vectext.Block([a, b])
+    assert len(set(block.hashes(block.starts, block.ends).tolist())) == 1
+    texts = [a, b, f"{b} {a}", f"{a}x", b]
+    ids, counts = byte_bpe.codec(corpus.BYTE_BPE, public_tokenizers.PATTERN).encode_block(texts)
+    assert byte_bpe.codec(corpus.BYTE_BPE, public_tokenizers.PATTERN).decode_block(ids, counts) == [t.encode() for t in texts]
+    whole = Tokenizer.from_file(corpus.WORD_BPE)
+    assert [x.tolist() for x in packing.TextIds(corpus.WORD_BPE).encode_block(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    cache = vectext.WordCache(lambda words: (np.array([ord(w[0]) for w in words]), np.ones(len(words), int)), np.int64)
+    for one in (vectext.Block([a, b, a]), vectext.Block([b, "q", a])):
+        at, _ = cache.lookup(one, one.starts, one.ends)
+        assert [chr(x) for x in cache.pool[at]] == [t[0] for t in one.text().split("\n")[1:4]]
+
+
+def test_toxicity_of_words_of_one_hash():
+    a, b = alternating(4096)
+    net = toxicity.train([f"{a} fine day"] * 20 + [f"{b} vile filth"] * 20, [0] * 20 + [1] * 20)
+    apart = [toxicity.Scorer(net).scores([t])[0] for t in (a, b)]
+    assert np.allclose(toxicity.Scorer(net).scores([a, b]), apart) and np.allclose(toxicity.Scorer(net).scores([b, a])[::-1], apart)
+
+
+def test_toxicity_of_very_long_text():
+    """Windows scored in slices give what they give together."""
+    net = toxicity.train(["you are vile filth", "a fine day"] * 20, [1, 0] * 20)
+    words = np.random.default_rng(1).choice("you are vile filth a fine day it was".split(), 20_000)
+    texts = [" ".join(words), " ".join(words[:100]), ""]
+    whole, sliced = toxicity.Scorer(net), toxicity.Scorer(net)
+    whole.TOGETHER, sliced.TOGETHER = 1 << 20, 50
+    assert np.allclose(whole.scores(texts), sliced.scores(texts)) and whole.scores(texts)[2] == 0
+
+
+def brute(x, k):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    return s
+
+
+def test_neighbours_over_shards(spark):
+    """Four shards of 128 components, merged, against all rows."""
+    x = np.random.default_rng(8).standard_normal((4096, 128)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = hnsw.nearest(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, shard=1024).collect()
+    assert hnsw.build_index(df, "vec_id", "embedding", 5, 1024).count() == 4
+    s = brute(x.astype(float), 5)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(found) == len(range(0, 4096, 50)) and all(len(v) == 5 for v in found.values())
+    hits = sum(len(v & set(np.argsort(-s[q])[:5].tolist())) for q, v in found.items())
+    assert hits >= 0.95 * 5 * len(found)
+
+
+def test_neighbours_that_tie(spark):
+    """Scaled copies tie at cosine 1 in every shard: the smallest ids win; and
+    components are kept in double precision."""
+    rows = [(i, [2.0 ** (i % 20), 2.0 ** (i % 20 + 1)]) for i in range(40)] + [(100 + i, [1.0, -float(i)]) for i in range(40)]
+    rows += [(200, [1.0, 1e-12]), (201, [1.0, 2e-12]), (250, [1.0, 3e-12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, df.where("vec_id in (30, 200)"), "vec_id", "embedding", 5, shard=25).collect()
+    own = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (30, 200)}
+    assert own[30] == [0, 1, 2, 3, 4] and {201, 250, 100} <= set(own[200])
+
+
+def test_addresses_and_long_histories(spark):
+    captures = spark.createDataFrame([(1, "http://[::1]:80/x", 10), (2, "http://1.2.3.4/", 10), (3, "http://u:p@1.2.3.4:8080/a?b", 10), (4, "http://a.co.uk/", 500), (5, "http://b.a.co.uk/", 501)], "id int, url string, day long")
+    changes = [("a.co.uk", d, d % 2 == 0) for d in range(0, 2001)] + [("a.co.uk", 500, False), ("co.uk", 0, True)]
+    entries = spark.createDataFrame([("[::1]", 1, True), ("3.4", 1, True), ("1.2.3.4", 2, True), *changes], "name string, day long, listed boolean")
+    got = {r.id: (r.host, r.n_entries, r.entry, r.listed_since) for r in url_lists.evaluate(captures, entries, "url", "day", ["id"]).collect()}
+    assert got == {1: ("[::1]", 1, "[::1]", 1), 2: ("1.2.3.4", 1, "1.2.3.4", 2), 3: ("1.2.3.4", 1, "1.2.3.4", 2), 4: ("a.co.uk", 2, "a.co.uk", 500), 5: ("b.a.co.uk", 1, "co.uk", 0)}
+
+
+def test_loss_spans(spark):
+    turns = [("user", "a<b|c"), ("assistant", "x\\y"), ("assistant", ""), ("user", None), ("assistant", "<|end|>z")]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = reply_trees.conversations(df).first()
+    covered = [row.formatted[s.start : s.start + s["size"]] for s in row.loss_spans]
+    for code, plain in (("\\p", "|"), ("\\l", "<"), ("\\b", "\\")):
+        covered = [c.replace(code, plain) for c in covered]
+    assert covered == ["x\\y", "", "<|end|>z"]
+    parts = row.formatted.split("<|end|>")
+    assert [parts[s.turn][s["at"] : s["at"] + s["size"]] for s in row.loss_spans] == [row.formatted[s.start : s.start + s["size"]] for s in row.loss_spans]
+
+
+def test_one_long_conversation(spark):
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    got = reply_trees.digests(reply_trees.conversations(df)).first()
+    assert got.n_turns == 3000 and got.loss_chars == sum(len(f"t{i}") for i in range(1, 3000, 2))
+
+
+def test_repeated_messages(spark):
+    rows = [(1, None, 1.0, "user", "q"), (2, 1, 1.0, "assistant", "b"), (2, 1, 1.0, "assistant", "a"), (2, 1, 1.0, "assistant", "a")]
+    own = reply_trees.unique(spark.createDataFrame(rows, "id long, parent long, score double, role string, text string"))
+    shown = reply_trees.format_paths(reply_trees.paths(own), own).select(reply_trees.read_back("formatted").alias("t")).collect()
+    assert [[tuple(x) for x in r.t] for r in shown] == [[("user", "q"), ("assistant", "a")]]

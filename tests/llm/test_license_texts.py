@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import time
+
+import numpy as np
 import pytest
 
 from keyloom.llm import license_scan
@@ -64,3 +68,99 @@ def test_another_holder():
 def test_notices_of_one_line():
     assert labels("This code is released under the MIT License.") == {"mit"}
     assert labels("Licensed under the Apache License, Version 2.0") == {"apache-2.0"}
+
+
+def test_denied():
+    assert labels("This is not licensed under the MIT License.") == set()
+    assert labels("It isn't distributed under the MIT License, but licensed under the Apache License, Version 2.0") == {"apache-2.0"}
+    assert labels("This code is not finished. It is released under the MIT License.") == {"mit"}
+
+
+MARKUP = re.compile(r"<<(opt|end|var)\s*(\d*)>>|((?:(?!<<(?:opt|end|var)).)+)", re.S)
+
+
+def sample(template, optional, var):
+    """The template's words with all or no optional regions, and ``var`` words
+    (of those allowed, None for all) for each replaceable one."""
+    out, depth = [], 0
+    for mark, n, plain in MARKUP.findall(template):
+        if mark == "opt":
+            depth += 1
+        elif mark == "end":
+            depth -= 1
+        elif optional or not depth:
+            out += ["zz"] * (int(n) if var is None else var if var >= 0 else int(n) - var) if mark else license_scan.words_of(plain)
+    return out
+
+
+def as_regex(template):
+    """The same template as a regular expression over words with a blank after
+    each."""
+    out = []
+    for mark, n, plain in MARKUP.findall(template):
+        if mark == "opt":
+            out.append("(?:")
+        elif mark == "end":
+            out.append(")?")
+        elif mark:
+            out.append(r"(?:\S+ ){0,%s}" % n)
+        else:
+            out += [re.escape(w) + " " for w in license_scan.words_of(plain)]
+    return re.compile(r"(?<!\S)" + "".join(out))
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEMPLATES))
+def test_every_template(label):
+    template = license_scan.TEMPLATES[label]
+    own = license_scan.Automaton(template)
+    for optional in (True, False):
+        for var in (None, 0):
+            words = sample(template, optional, var)
+            assert own.match(words, 0) == len(words)
+            assert label in labels(" ".join(["so", *words, "then"]))
+    words = sample(template, False, 0)
+    for i in range(len(words)):
+        assert own.match([*words[:i], "zzz", *words[i + 1 :]], 0) < len(words)
+    too_long = sample(template, False, -1)
+    if too_long != words:  # a replaceable region outside the optional ones
+        assert own.match(too_long, 0) < len(too_long)
+
+
+def test_labels_by_regular_expressions():
+    """Random mixtures of wording, against the longest match of each regular
+    expression at each word."""
+    random = np.random.default_rng(6)
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    regexes = {label: as_regex(t) for label, t in license_scan.TEMPLATES.items()}
+    short = [label for label, t in license_scan.TEMPLATES.items() if len(t) < 300]
+    for _ in range(150):
+        words = []
+        for _ in range(random.integers(1, 6)):
+            piece = sample(license_scan.TEMPLATES[short[random.integers(len(short))]], bool(random.integers(2)), 0)
+            if random.integers(3) == 0:
+                del piece[random.integers(len(piece))]
+            words += piece + ["and", "not"][: random.integers(3)]
+        text, want = " ".join(words) + " ", set()
+        for label, r in regexes.items():
+            at = 0
+            starts = [0, *(m.end() for m in re.finditer(" ", text))][:-1]
+            found = []
+            for i, at in enumerate(starts):
+                ends = [m.end() for m in [r.match(text, at)] if m]
+                if ends:
+                    found.append((i, i + text[at : ends[0]].count(" ")))
+            taken = []
+            for a, b in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+                if all(b <= c or d <= a for c, d in taken):
+                    taken.append((a, b))
+            want |= {(label, a, b) for a, b in taken if not (a and words[a - 1] in license_scan.DENIALS)}
+        assert set(scanner.found(words)) == want
+
+
+def test_many_matches():
+    """100,000 notices in one text take seconds."""
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    words = "this is licensed under the mit license now".split() * 100_000
+    start = time.perf_counter()
+    assert len(scanner.found(words)) == 100_000
+    assert time.perf_counter() - start < 60
