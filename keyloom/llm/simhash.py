@@ -7,7 +7,7 @@ within its proportional share of ``BITS``: none in the first, at most one in
 the first two, two in the first three. The candidate join is on the first two
 links of that chain (one side lists its second segment with each single bit
 flipped), the third is checked in the join condition, and only then is the
-whole distance. Components come from alternating star contractions.
+whole distance. A dense cluster isn't paired in full: see ``linked``. Components come from alternating star contractions.
 
 Results by case: a null text or one without a word has fingerprint zero, and is
 linked like any other; repeated rows share a fingerprint and a component; an
@@ -58,11 +58,10 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     hashes = shingle_hashes(text, words)
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes, axis=1)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-        ones += bits[at : at + 255].sum(0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        ones += np.unpackbits(hashes[at : at + 255], axis=1).sum(0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, key: str, text: str, words: int = SHINGLE) -> DataFrame:
@@ -82,22 +81,54 @@ def _rotated(fp, segment: int):
     return F.shiftleft(fp, n).bitwiseOR(F.shiftrightunsigned(fp, 64 - n)) if n else fp
 
 
-def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs a < b of nodes (``node``, distinct ``fp``) whose fingerprints
-    differ in at most ``bits`` bits."""
+def _chains(nodes: DataFrame, bits: int) -> DataFrame:
+    """node, turn, ring (read from that segment on) and head, its first two
+    segments: four rows a node."""
     if not 0 <= bits <= 7:
         raise ValueError("chains of two segments are enumerated for budgets of up to 7 bits")
-    ring = nodes.select("node", "fp", F.posexplode(F.array(*[_rotated(F.col("fp"), s) for s in range(SEGMENTS)])).alias("turn", "ring"))
-    chain = ring.select("node", "fp", "turn", "ring", F.shiftrightunsigned("ring", 64 - 2 * WIDTH).alias("head"))
-    near = _flips(bits)
-    left = chain.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), "turn", F.explode(F.array(*[F.col("head").bitwiseXOR(F.lit(m).cast("long")) for m in near])).alias("head"))
-    right = chain.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), "turn", "head")
+    ring = nodes.select("node", F.posexplode(F.array(*[_rotated(F.col("fp"), s) for s in range(SEGMENTS)])).alias("turn", "ring"))
+    return ring.select("node", "turn", "ring", F.shiftrightunsigned("ring", 64 - 2 * WIDTH).alias("head"))
+
+
+def _flipped(chains: DataFrame, bits: int, *more: str) -> DataFrame:
+    heads = F.array(*[F.col("head").bitwiseXOR(F.lit(m).cast("long")) for m in _flips(bits)])
+    return chains.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), "turn", F.explode(heads).alias("head"), *(F.col(c).alias(f"{c}_a") for c in more))
+
+
+def _near(bits: int):
+    """The third link of a chain, and then the whole distance."""
     apart = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    third = F.bit_count(F.shiftrightunsigned(apart, 64 - 3 * WIDTH)) <= 3 * bits // SEGMENTS
-    pairs = left.join(right, ["turn", "head"]).where((F.col("a") < F.col("b")) & third & (F.bit_count(apart) <= bits))
+    return (F.bit_count(F.shiftrightunsigned(apart, 64 - 3 * WIDTH)) <= 3 * bits // SEGMENTS) & (F.bit_count(apart) <= bits)
+
+
+def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs a < b of nodes (``node``, distinct ``fp``) whose fingerprints
+    differ in at most ``bits`` bits."""
+    chains = _chains(nodes, bits)
+    right = chains.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), "turn", "head")
+    pairs = _flipped(chains, bits).join(right, ["turn", "head"]).where((F.col("a") < F.col("b")) & _near(bits))
     return pairs.select("a", "b").distinct()
 
 
+def linked(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(node, root) of the nodes that have a link, without all pairs of a dense
+    cluster: first each node is held against one of those that share its head,
+    then only what is still in different components is paired."""
+    chains = _chains(nodes, bits)
+    centres = chains.groupBy("turn", "head").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "ring")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = chains.join(centres.select("turn", "head", F.col("c.node").alias("b"), F.col("c.ring").alias("ring_b")), ["turn", "head"])
+    first = first.withColumnRenamed("ring", "ring_a").where((F.col("node") != F.col("b")) & (F.bit_count(F.col("ring_a").bitwiseXOR(F.col("ring_b"))) <= bits))
+    edges = materialize(first.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "links")
+    found = materialize(components(edges), "roots")
+    placed = materialize(chains.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "chains")
+    # A head whose nodes are all in the asking node's component has nothing new for it.
+    bounds = placed.groupBy("turn", "head").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    asking = _flipped(placed, bits, "root").join(bounds, ["turn", "head"]).where((F.col("low") != F.col("root_a")) | (F.col("high") != F.col("root_a")))
+    right = placed.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), "turn", "head", F.col("root").alias("root_b"))
+    more = asking.join(right, ["turn", "head"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near(bits)).select("a", "b").distinct()
+    return components(edges.unionByName(more))
+
+
 def _flips(bits: int) -> list[int]:
     """Masks over the first two segments within the chain's budgets: up to
     ``bits // 4`` bits in the first, ``2 * bits // 4`` in both."""
@@ -128,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         # and of the smaller ones the smallest takes the others.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        edges = materialize(small, "edges")
+        edges = materialize(small, "edges", instead_of=edges)
         now = state(edges)
         if now == was:
             break
@@ -142,7 +173,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     links lead to."""
     prints = materialize(fingerprints(df, key, text, words), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("node")), "nodes")
-    roots = components(links(nodes, bits))
+    roots = linked(nodes, bits)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

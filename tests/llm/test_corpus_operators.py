@@ -18,7 +18,7 @@ from tiktoken.load import load_tiktoken_bpe
 from tokenizers import Tokenizer
 
 from keyloom.llm import queries as corpus
-from keyloom.llm import toxicity
+from keyloom.llm import simhash, toxicity
 from keyloom.llm.common import held_out
 
 SF = "/root/testdata/sf0.001"
@@ -179,6 +179,27 @@ def test_simhash(spark, texts):
     assert got == {k: (f"{p:016x}", low[k]) for k, p in prints.items()}
 
 
+def test_simhash_links(spark):
+    """A dense cluster, chains of links and far fingerprints, against all
+    pairs; also as pairs."""
+    random = np.random.default_rng(2)
+    base = [int(x) for x in random.integers(0, 1 << 64, 6, np.uint64)]
+    prints = {base[0] ^ 1 << int(i) ^ 1 << int(j) for i in range(12) for j in range(12)}
+    for b in base[1:]:
+        for _ in range(12):
+            prints.add(b)
+            for bit in random.choice(64, random.integers(1, 5), replace=False):
+                b ^= 1 << int(bit)
+    nodes = {p: i for i, p in enumerate(sorted(prints))}
+    signed = [(i, p - (1 << 64) if p >> 63 else p) for p, i in nodes.items()]
+    df = spark.createDataFrame(signed, "node long, fp long").repartition(3)
+    want = {(i, j) for p, i in nodes.items() for q, j in nodes.items() if i < j and (p ^ q).bit_count() <= 3}
+    assert {(r.a, r.b) for r in simhash.links(df).collect()} == want
+    low = grouped({i: p for p, i in nodes.items()})
+    touched = {i for pair in want for i in pair}
+    assert {r.node: r.root for r in simhash.linked(df).collect()} == {i: low[i] for i in touched}
+
+
 def test_license(spark, texts):
     phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     for r in rows_of(spark, "op10_license_scan"):
