@@ -81,6 +81,24 @@ def test_one_large_group(spark):
     assert {r.component_id for r in near_copies.groups(df).collect()} == {0}
 
 
+def test_rare_shingles_lose_no_pair(spark):
+    """All similar pairs of other roots, and in a group of texts that share
+    less than that no pair at all."""
+    texts = copies()
+    sets = {k: near_copies.shingle_set(t) for k, t in texts.items()}
+    rows = [(f"{k:04}", len(s), f"{k:04}", s.view(np.int64).tolist()) for k, s in sets.items()]
+    held = spark.createDataFrame(rows, "node string, n int, root string, shingles array<long>")
+    got = {(int(r.a), int(r.b)) for r in near_copies._sharing_rare(held.drop("shingles"), held.select("node", "shingles"), 0.8).collect()}
+    real = {k: shingles(t) for k, t in texts.items()}
+    want = {(a, b) for a in real for b in real if a < b and real[a] != real[b] and len(real[a] & real[b]) >= 0.8 * len(real[a] | real[b])}
+    assert len(want) > 300 and want <= got
+    rng = np.random.default_rng(5)
+    common = rng.integers(-(2**62), 2**62, 170)
+    apart = [(f"{k:04}", 200, f"{k:04}", [*common.tolist(), *rng.integers(-(2**62), 2**62, 30).tolist()]) for k in range(300)]
+    held = spark.createDataFrame(apart, "node string, n int, root string, shingles array<long>")
+    assert near_copies._sharing_rare(held.drop("shingles"), held.select("node", "shingles"), 0.8).isEmpty()
+
+
 def test_band_keys_pass_over_few():
     rng = np.random.default_rng(3)
     sets = []
