@@ -98,11 +98,14 @@ def cleaned(df: DataFrame, text: str = "text", size: str | None = None) -> DataF
     """The rows of kept documents with the line rules applied to their text
     (and ``size``, if named, its new number of characters). All columns stay,
     whatever their names."""
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_source"))
+    others = [c for c in df.columns if c != text]
+    row = F.struct(F.lit(True).alias("any"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    rows = df.select(row.alias("_row"), F.col(text).alias("_source"))
     # Written before they are filtered: the optimizer would otherwise move the
     # filter below the columns it is made from, and make each many times over.
-    judged = materialize(quality(rows, "_source", ["_row"]).select("_row", "kept", F.when(F.col("kept"), F.col("clean_text")).alias("clean_text")), "judged")
-    own = {c: F.col("_row")[c] for c in df.columns} | {text: F.col("clean_text")}
+    # Of a rejected document only the verdict is written, and no text twice.
+    judged = materialize(quality(rows, "_source", ["_row"]).select("kept", *(F.when(F.col("kept"), F.col(c)).alias(c) for c in ("_row", "clean_text"))), "judged")
+    own = {c: F.col("_row")[f"c{i}"] for i, c in enumerate(others)} | {text: F.col("clean_text")}
     if size:
         own[size] = F.length("clean_text").cast(df.schema[size].dataType)
     return judged.where("kept").select(*(own[c].alias(c) for c in df.columns))
