@@ -9,8 +9,10 @@ score is the largest.
 
 The network is trained in numpy on at most ``PER_LABEL`` labelled texts of each
 label, in ``EPOCHS`` passes or, where those make fewer than ``STEPS`` steps, in
-as many passes as make them. A text's label says only that some window of a
+as many passes as make them; the steps shorten evenly to none, so that the last
+texts seen don't move the scores of all. A text's label says only that some window of a
 toxic text is toxic, so each step learns from the window that scores highest.
+Labels weigh as often as they stand in the sample.
 
 Results by case: a null or empty text, or one without a word, scores 0; rows
 without a label are scored but not learned from; of repeated label rows one
@@ -244,10 +246,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     rows = np.where(known, rows, WORDS)  # a row that stays zero
     places = np.cumsum(many) - many
     net, r = Network.start(seed), np.random.default_rng(seed)
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(net).items()}
     step, batches = 0, -(-len(docs) // BATCH)
-    for _ in range(max(EPOCHS, -(-STEPS // batches))):
+    passes = max(EPOCHS, -(-STEPS // batches))
+    for _ in range(passes):
         turn = r.permutation(len(docs))
         for at in range(0, len(turn), BATCH):
             picked = [i for i in turn[at : at + BATCH].tolist() if docs[i]]
@@ -265,14 +267,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             best = np.lexsort((-scores, owner))
             best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
             shown = np.where(r.random((len(best), WINDOW)) < DROPPED, 0, every[best])
-            g = net.gradients(inputs, shown, y[picked], weight[picked] / len(picked))
+            g = net.gradients(inputs, shown, y[picked], np.full(len(picked), 1 / len(picked)))
             d = g.pop("inputs")[1:]
+            rate = RATE * (1 - step / (passes * batches))
             step += 1
             has = known[own - 1]
-            _adam(net.words, moments["words"], step, *_gathered(rows[own - 1][has], d[has, :SIZE]))
-            _adam(net.grams, moments["grams"], step, *_gathered(flat, np.repeat(d[:, SIZE:] / np.maximum(n, 1)[:, None], n, axis=0)))
+            _adam(net.words, moments["words"], step, rate, *_gathered(rows[own - 1][has], d[has, :SIZE]))
+            _adam(net.grams, moments["grams"], step, rate, *_gathered(flat, np.repeat(d[:, SIZE:] / np.maximum(n, 1)[:, None], n, axis=0)))
             for k, v in g.items():
-                _adam(getattr(net, k), moments[k], step, ..., v)
+                _adam(getattr(net, k), moments[k], step, rate, ..., v)
     return net
 
 
@@ -283,12 +286,12 @@ def _gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own, sums
 
 
-def _adam(p: np.ndarray, moments: tuple[np.ndarray, np.ndarray], step: int, at, g: np.ndarray) -> None:
+def _adam(p: np.ndarray, moments: tuple[np.ndarray, np.ndarray], step: int, rate: float, at, g: np.ndarray) -> None:
     m, v = moments
     g = g + DECAY * p[at]
     m[at] = 0.9 * m[at] + 0.1 * g
     v[at] = 0.999 * v[at] + 0.001 * g * g
-    p[at] -= RATE * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
+    p[at] -= rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
 
 
 class Scorer:
