@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import byte_bpe, hnsw, language_id, license_scan, packing, quality_rules, reply_trees, simhash, toxicity, url_lists
+from keyloom.llm import byte_bpe, centroids, hnsw, language_id, lexical, license_scan, packing, quality_rules, reply_trees, sharding, simhash, toxicity, url_lists
 from keyloom.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, sf_dir, "documents"), "text", ["doc_id"]), ["doc_id"])
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k=10)
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summary(*centroids.clustered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=8, rounds=10))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 8, as_read=True)
+    return sharding.summary(found, "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -76,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_reply_trees": reply_trees.ORACLE,
         "op6_url_lists": url_lists.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op11_ranked_search": lexical.ORACLE,
+        "op12_yinyang": centroids.oracle(),
     }
