@@ -134,11 +134,13 @@ def _round(state: DataFrame, centres: np.ndarray, moved: np.ndarray, groups: lis
     return state.mapInArrow(step, schema)
 
 
-def _changes(state: DataFrame, dims: int) -> list:
-    """What vectors that changed their cluster add to and take from clusters."""
+def _changes(state: DataFrame) -> list:
+    """What vectors that changed their cluster add to and take from each
+    component of the clusters' sums, and from their sizes: a row for each
+    cluster and component."""
     ways = F.explode(F.array(F.struct(F.col("cluster").alias("c"), F.lit(1).alias("sign")), F.struct(F.col("was").alias("c"), F.lit(-1).alias("sign"))))
-    rows = state.where("cluster <> was").select("v", ways.alias("x")).select("v", "x.*").where("c >= 0")
-    return rows.groupBy("c").agg(F.sum("sign").alias("n"), *(F.sum(F.get("v", F.lit(i)).cast("long") * F.col("sign")).alias(f"s{i}") for i in range(dims))).collect()
+    rows = state.where("cluster <> was").select("v", ways.alias("x")).where("x.c >= 0").select("x.c", "x.sign", F.posexplode("v").alias("i", "value"))
+    return rows.groupBy("c", "i").agg(F.sum("sign").alias("n"), F.sum(F.col("value").cast("long") * F.col("sign")).alias("s")).collect()
 
 
 def clustered(vectors: DataFrame, vec_id: str, embedding: str, k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, salt: int = 3, keep: list[str] | None = None) -> tuple[DataFrame, np.ndarray]:
@@ -158,9 +160,9 @@ def clustered(vectors: DataFrame, vec_id: str, embedding: str, k: int = 8, round
         state = materialize(_round(state, centres, moved, groups), "clusters", instead_of=state)
         if turn == rounds:
             break
-        for change in _changes(state, dims):
-            sizes[change.c] += change.n
-            sums[change.c] = [s + change[f"s{i}"] for i, s in enumerate(sums[change.c])]
+        for change in _changes(state):
+            sums[change.c][change.i] += change.s
+            sizes[change.c] += change.n if change.i == 0 else 0
         new = np.array([[s // n for s in own] if n else list(old) for own, n, old in zip(sums, sizes, centres.tolist())], np.int64)
         moved = np.sqrt(((new - centres).astype(float) ** 2).sum(1)) * (1 + MARGIN)
         if (new == centres).all():
