@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from keyloom.frame import keyed
 from keyloom.functions import sequence, text
 from keyloom.operators import aggregates as agg
-from keyloom.operators import filters, intervals, joins, load, ranks, shape
+from keyloom.operators import density, filters, intervals, joins, load, ranks, shape
 from keyloom.plans import associations as assoc
-from keyloom.plans import entities, tasks
+from keyloom.plans import entities, indices, tasks
 from keyloom.plans.rules import Rule, Var, assignments, paths
 from keyloom.queries import _MUTATION, customers, exact_sum, joined, micros, mutations, order_lists, query
 from keyloom.sources import text as source
@@ -176,23 +176,29 @@ def q91_paste_same_fields(t):
     return joins.paste(parts, same_fields=True).df
 
 
-@query("SELECT a.l_orderkey AS a_id, a.l_linenumber AS a_n, b.l_orderkey AS b_id, b.l_linenumber AS b_n FROM (SELECT *, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS d FROM lineitem WHERE l_quantity = 50) a JOIN (SELECT *, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS d FROM lineitem WHERE l_quantity = 1) b ON a.l_suppkey = b.l_suppkey AND a.d <= b.d + b.l_partkey AND b.d <= a.d + CASE WHEN a.l_linenumber = 7 THEN 100000 ELSE 3 END")
+_CENTS = "floor({} * 100)::BIGINT"
+
+
+@query(f"SELECT c_custkey, s_suppkey FROM (SELECT *, {_CENTS.format('c_acctbal')} AS a FROM customer) JOIN (SELECT *, {_CENTS.format('s_acctbal')} AS b FROM supplier) ON c_nationkey = s_nationkey AND a <= b + s_suppkey * 100 AND b <= a + CASE c_mktsegment WHEN 'BUILDING' THEN 1000000 ELSE 3 END")
 def q92_uneven_intervals(t):
-    """Overlaps of intervals of very different lengths."""
-    day = F.unix_date(F.to_date("l_shipdate")).cast("long")
-    long = F.when(F.col("l_linenumber") == 7, 100000).otherwise(3)
-    side = lambda p, quantity, size: t("lineitem").where(F.col("l_quantity") == quantity).select("l_suppkey", F.col("l_orderkey").alias(f"{p}_id"), F.col("l_linenumber").alias(f"{p}_n"), day.alias(f"{p}_start"), (day + size).alias(f"{p}_end"))
-    return intervals.overlaps(side("a", 50, long), side("b", 1, F.col("l_partkey")), ["l_suppkey"], 8).select("a_id", "a_n", "b_id", "b_n")
+    """Overlaps of intervals of very different lengths: of a nation's customers
+    and suppliers, from their balances on."""
+    cents = lambda c: F.floor(F.col(c) * 100)
+    long = F.when(F.col("c_mktsegment") == "BUILDING", 1_000_000).otherwise(3)
+    a = t("customer").select("c_custkey", F.col("c_nationkey").alias("n"), cents("c_acctbal").alias("a_start"), (cents("c_acctbal") + long).alias("a_end"))
+    b = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), cents("s_acctbal").alias("b_start"), (cents("s_acctbal") + F.col("s_suppkey") * 100).alias("b_end"))
+    return intervals.overlaps(a, b, ["n"], 64).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT chr, event_id FROM (SELECT (user_id % 5)::VARCHAR AS chr, event_id, epoch_us(ts) AS s FROM events) WHERE chr = '2' AND s <= 1704240000000000 AND s + 3600000000 >= 1704153600000000")
 def q93_bed_index(t):
-    """Intervals of one contig that overlap a range of positions."""
-    own = t("events").select(F.concat(F.lit("chr"), (F.col("user_id") % 5).cast("string")).alias("chr"), micros("ts").alias("start"), (micros("ts") + 3_600_000_000).alias("end"), F.col("event_id").alias("id"))
-    width = 3_600_000_000
-    index = intervals.bed_index(own, width)
-    found = intervals.keys_at(index, "id", width, 1_704_153_600_000_000, 1_704_240_000_000_000, 3_600_000_000, chr="2")
-    return found.select(F.lit("2").alias("chr"), F.col("id").alias("event_id"))
+    """Intervals of one contig that overlap a range of positions, by a stored
+    index in two parts."""
+    own = t("events").select((F.col("user_id") % 5).cast("string").alias("chr"), micros("ts").alias("b_start"), (micros("ts") + 3_600_000_000).alias("b_end"), "event_id", "event_type")
+    index = indices.RangeIndex(t("events").sparkSession, scratch(t, "ranges"), ["chr"], 3_600_000_000)
+    for part in (own.where("event_type = 'purchase'"), own.where("event_type <> 'purchase'")):
+        index.append(part.drop("event_type"), files=16)
+    return index.over(1_704_153_600_000_000, 1_704_240_000_000_000, chr="2").select("chr", "event_id")
 
 
 # Aggregates and ranks ----------------------------------------------------------
@@ -210,10 +216,10 @@ def q95_adjacency_values(t):
     return assoc.adjacency_values(e, "n").select("source", *joined("targets", "values"))
 
 
-@query()
+@query(f"SELECT c_mktsegment, round(mode, 3) AS mode, round(density, 9) AS density FROM ({density.oracle('customer', 'c_mktsegment', 'c_acctbal')})")
 def q96_modes(t):
-    """Peaks of each segment's balances (tested against the rows themselves)."""
-    return agg.modes(t("customer"), "c_mktsegment", "c_acctbal", -1000.0, 10000.0)
+    """Peaks of each segment's balances."""
+    return density.modes(t("customer"), "c_mktsegment", "c_acctbal").select("c_mktsegment", F.round("mode", 3).alias("mode"), F.round("density", 9).alias("density"))
 
 
 _HEX = "lpad(lower(to_hex(round({0} + ({1} - {0}) * share)::BIGINT)), 2, '0')"
@@ -247,10 +253,11 @@ def q101_interleaved(t):
     return ranks.interleaved(parts, [["k"], ["k"]]).select("name", F.col("_stream").alias("stream"), F.col("_place").alias("place"))
 
 
-@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(a || b)), '|') AS both, array_to_string(list_sort(list_intersect(a, b)), '|') AS common, array_to_string(list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))), '|') AS rest FROM (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS a, list(o_orderpriority ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS b FROM orders GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(a || b)), '|') AS both, array_to_string(list_sort(list_intersect(a, b)), '|') AS common, array_to_string(list_sort(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))), '|') AS rest FROM (SELECT o_custkey, coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (WHERE o_orderstatus = 'F'), []) AS a, coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'F'), []) AS b FROM orders GROUP BY 1)")
 def q102_list_sets(t):
+    """Priorities of each customer's finished orders and of the others; one of
+    the lists may be empty."""
     rows = t("orders").groupBy("o_custkey").agg(*(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("o_orderkey", "o_orderpriority")))), lambda x: x["o_orderpriority"]).alias(n) for n, test in (("a", F.col("o_orderstatus") == "F"), ("b", F.col("o_orderstatus") != "F"))))
-    rows = rows.where("size(a) > 0 and size(b) > 0")
     return rows.select("o_custkey", *(F.array_join(c, "|").alias(n) for n, c in (("both", ranks.list_union("a", "b")), ("common", ranks.list_intersection("a", "b")), ("rest", F.sort_array(ranks.list_without("a", "b"))))))
 
 
@@ -330,9 +337,10 @@ def q108_notes(t):
 # Functions --------------------------------------------------------------------------
 
 
-@query("SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'seen=' || page_id AS seen, '<a href=''' || replace(url, '&', '&amp;') || '''>page ' || page_id || '</a>' AS tag, md5('=' || page_id || chr(31) || '=' || url) AS digest, round(log2(page_id + 1), 9) AS bits FROM pages WHERE NOT contains(url, '#')")
+@query("SELECT page_id, string_split(url, '#')[1] || CASE WHEN contains(string_split(url, '#')[1], '?') THEN '&' ELSE '?' END || 'seen=' || page_id || CASE WHEN contains(url, '#') THEN substr(url, instr(url, '#')) ELSE '' END AS seen, '<a href=''' || replace(url, '&', '&amp;') || '''>page ' || page_id || '</a>' AS tag, md5('=' || page_id || chr(31) || '=' || url) AS digest, round(log2(page_id + 1), 9) AS bits FROM pages")
 def q109_url_text(t):
-    own = t("pages").where(~F.col("url").contains("#"))
+    """Of all URLs, those with a fragment too."""
+    own = t("pages")
     page = F.col("page_id").cast("string")
     return own.select("page_id", text.with_param(F.col("url"), "seen", page).alias("seen"), text.html_tag("a", F.concat(F.lit("page "), page), {"href": F.col("url"), "title": F.lit(None)}).alias("tag"), text.digest(F.col("page_id"), F.col("url")).alias("digest"), F.round(text.log_of(F.col("page_id") + 1, 2), 9).alias("bits"))
 
@@ -357,8 +365,8 @@ def q111_corrected_alleles(t):
     return own.select("id", F.col("x")["position"].alias("position"), F.array_join(F.col("x")["alleles"], ",").alias("allele"))
 
 
-_DNA = ("c.395G>A", "c.4090_4091insT", "c.4249_4249delC", "c.371_397del27", "c.112_117delinsTG", "c.ins?", "c.?_?ins57", "c.?", "c.(1669_1671)>?", "c.1-?_850+?del")
-_DNA_SHORT = ("A", "+T", "-", "-" * 27, "------TG", "?(c.ins?)", "+" + "N" * 57, "?(c.?)", "?", "?(c.1-?_850+?del)")
+_DNA = ("c.9T>A", "c.5_6insGGC", "c.12delA", "c.30_34del5", "c.40_41delinsTTA", "c.77_78ins3", "c.100_101delAC", "c.8_9insQ", "c.=", "c.4delx")
+_DNA_SHORT = ("A", "+GGC", "-", "-----", "--TTA", "+NNN", "--", "?(c.8_9insQ)", "?(c.=)", "?(c.4delx)")
 
 
 @query(
@@ -441,7 +449,7 @@ def q119_json(t):
 def q120_shards(t):
     """A range of keys in one shard of a stored table."""
     spark = t("orders").sparkSession
-    held = tasks.persist(spark, shared_dir(spark), "orders", {"path": t("orders").inputFiles()[0]}, lambda: t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), update=True, shards=["o_orderstatus"])
+    held = tasks.persist(spark, shared_dir(spark), "orders", {"files": sorted(t("orders").inputFiles())}, lambda: t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), check=t("orders").inputFiles(), shards=["o_orderstatus"])
     return tasks.range_scan(held.where("o_orderstatus = 'P'"), "o_orderkey", 100, 900).select("o_orderkey", "o_totalprice")
 
 
@@ -491,8 +499,13 @@ def q124_tee(t):
 
 @query("SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1")
 def q125_tasks(t):
-    """A task whose dependency is another's stored result."""
-    spark = t("orders").sparkSession
-    orders = tasks.Task("orders", lambda given: t("orders").select("o_custkey", "o_totalprice"), inputs=("path",))
+    """A task whose dependency is another's stored result. Its input grows
+    after a first run, which makes both steps anew."""
+    spark, path = t("orders").sparkSession, scratch(t, "orders")
+    orders = tasks.Task("orders", lambda given: spark.read.parquet(given["path"]).select("o_custkey", "o_totalprice"), paths=("path",))
     totals = tasks.Task("totals", lambda given, rows: agg.reduce_by(rows, "o_custkey", total=exact_sum("o_totalprice")).df, [orders])
-    return totals.run(spark, scratch(t, "tasks"), {"path": t("orders").inputFiles()[0]})
+    root = scratch(t, "tasks")
+    for status in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"):
+        t("orders").where(status).write.mode("append").parquet(path)
+        found = totals.run(spark, root, {"path": path})
+    return found

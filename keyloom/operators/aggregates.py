@@ -60,6 +60,19 @@ def counts(df: DataFrame, column: str) -> DataFrame:
     return own.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+def key_counts(t: KeyedFrame) -> DataFrame:
+    """For each key how many values each field has."""
+    return t.df.select(t.key, *(F.size(t.values(f)).cast("long").alias(f) for f in t.fields))
+
+
+def consolidated(df: DataFrame, by: str | None, lists: str, order: list[str]) -> DataFrame:
+    """The lists of all rows (of each group) one after the other, in the order;
+    null lists add nothing."""
+    rows = df.groupBy(*([by] if by else [])).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(lists).alias("_l")))).alias("_r"))
+    own = F.flatten(F.transform(F.filter("_r", lambda x: x["_l"].isNotNull()), lambda x: x["_l"]))
+    return rows.select(*([by] if by else []), own.alias(lists))
+
+
 def row_counts(t: KeyedFrame) -> DataFrame:
     """One row: how many rows, keys, and values of each field there are."""
     sizes = [F.coalesce(F.sum(F.size(t.values(f))), F.lit(0)).alias(f) for f in t.fields]
@@ -119,18 +132,34 @@ def _log_factorials(n: np.ndarray) -> np.ndarray:
     return np.where(n < 64, small[np.minimum(n, 63).astype(int)], series)
 
 
-def hypergeometric_tail(k: int, drawn: int, good: int, total: int) -> float:
-    """The chance of k or more good ones among those drawn. Terms fall from
-    the mode on, so those beyond where they vanish aren't added up."""
+def hypergeometric_tails(k: np.ndarray, drawn: np.ndarray, good: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The chance of k or more good ones among those drawn, for many cases at
+    once. Terms fall from the mode on, so those beyond where they vanish aren't
+    added up; the cases go by how many terms they need."""
     choose = lambda n, r: _log_factorials(n) - _log_factorials(r) - _log_factorials(n - r)
-    low, high = max(0, drawn - total + good), min(good, drawn)
-    if k <= low:
-        return 1.0
-    if k > high:
-        return 0.0
-    spread = 40 * (1 + drawn * good / total * (1 - good / total)) ** 0.5 + 64
-    at = np.arange(k, min(high, int(max(k, drawn * good / total) + spread)) + 1)
-    return float(min(1.0, np.exp(choose(good, at) + choose(total - good, drawn - at) - choose(total, drawn)).sum()))
+    low, high = np.maximum(0, drawn - total + good), np.minimum(good, drawn)
+    out = np.where(k <= low, 1.0, 0.0)
+    middle = drawn * (good / total)
+    spread = 40 * np.sqrt(1 + middle * (1 - good / total)) + 64
+    terms = np.minimum(high, (np.maximum(k, middle) + spread).astype(np.int64)) - k + 1
+    left = np.flatnonzero((k > low) & (k <= high))
+    left = left[np.argsort(terms[left], kind="stable")]
+    while len(left):
+        # As many cases as a block of a million terms has room for.
+        n = max(1, min(len(left), int(np.searchsorted(terms[left] * np.arange(1, len(left) + 1), 1 << 20, "right"))))
+        own, left = left[:n], left[n:]
+        at = k[own, None] + np.arange(terms[own].max())[None, :]
+        inside = at < (k + terms)[own, None]
+        safe = np.where(inside, at, k[own, None])
+        g, d, t = good[own, None], drawn[own, None], total[own, None]
+        chance = np.exp(choose(g, safe) + choose(t - g, d - safe) - choose(t, d))
+        out[own] = np.minimum(1.0, np.where(inside, chance, 0.0).sum(1))
+    return out
+
+
+def hypergeometric_tail(k: int, drawn: int, good: int, total: int) -> float:
+    """The same of one case."""
+    return float(hypergeometric_tails(*(np.array([x], np.int64) for x in (k, drawn, good, total)))[0])
 
 
 def enrichment(pairs: DataFrame, item: str, term: str, chosen: DataFrame) -> DataFrame:
@@ -142,37 +171,11 @@ def enrichment(pairs: DataFrame, item: str, term: str, chosen: DataFrame) -> Dat
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_tail(*map(int, x)) for x in zip(k, drawn, good, total)])
+        return pd.Series(hypergeometric_tails(*(x.to_numpy(np.int64) for x in (k, drawn, good, total))))
 
     return by_term.join(F.broadcast(sizes)).withColumn("p_value", tail("k", "drawn", "good", "total"))
 
 
-def modes(df: DataFrame, by: str, value: str, low: float, high: float, points: int = 256) -> DataFrame:
-    """(by, mode, density): the peaks of each group's density on a grid from
-    ``low`` to ``high``, by a Gaussian kernel of Scott's width. What is
-    smoothed is a histogram on the grid, so a task holds ``points`` counts of a
-    group and never its rows."""
-    step = (high - low) / (points - 1)
-    cell = F.round((F.col(value) - low) / step).cast("int")
-    inside = df.where(F.col(value).between(low, high))
-    grid = inside.groupBy(by, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"))
-    kind = df.schema[by].dataType.simpleString()
-
-    def peaks(own: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(points)
-        counts[own["_cell"].to_numpy()] = own["_n"].to_numpy()
-        n = counts.sum()
-        sd = max(0.0, own["_q"].sum() / n - (own["_s"].sum() / n) ** 2) ** 0.5
-        width = max(sd * n ** (-1 / 5), step / 2)
-        away = np.arange(-points + 1, points) * step
-        density = np.convolve(counts, np.exp(-0.5 * (away / width) ** 2))[points - 1 : 2 * points - 1] / (n * width * (2 * np.pi) ** 0.5)
-        sides = np.concatenate(([-1.0], density, [-1.0]))
-        at = np.flatnonzero((density > sides[:-2]) & (density >= sides[2:]))
-        return pd.DataFrame({by: [own[by].iloc[0]] * len(at), "mode": low + at * step, "density": density[at]})
-
-    return grid.groupBy(by).applyInPandas(peaks, f"`{by}` {kind}, mode double, density double")
-
-
 def regressions(df: DataFrame, by: str, y: str, x: str) -> DataFrame:
     """Least squares in each group: slope, intercept and n."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.frame import KeyedFrame
+from keyloom.plans.tasks import persist
 
 _COMPARE: dict[str, Callable] = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -98,6 +99,14 @@ class FilterStack:
     def ids(self) -> DataFrame:
         return self.rows().df.select(self.table.key).orderBy(self.table.key)
 
+    def stored_ids(self, root: str, check: list[str] = ()) -> DataFrame:
+        """The same, kept under a folder for each table and stack of filters,
+        and found anew when any file of the paths to ``check`` has changed (by
+        default those that the table is read from)."""
+        spark = self.table.df.sparkSession
+        about = {"key": self.table.key, "files": sorted(self.table.df.inputFiles()), "filters": [[n, repr(s)] for n, s in self.filters]}
+        return persist(spark, root, "filter", about, lambda: self.ids(), check=list(check) or self.table.df.inputFiles())
+
 
 def field_index(t: KeyedFrame, name: str) -> DataFrame:
     """Each value of a field with its sorted keys."""

@@ -105,7 +105,7 @@ def translation_index(tables: list[DataFrame], source: str, target: str) -> Data
             shared = [c for c in t.columns if c in other.columns]
             if t is not other and shared and source in t.columns and target in other.columns:
                 return compose_index([known(t, source, shared[0]), known(other, shared[0], target)]).toDF(source, target)
-    raise ValueError(f"no table leads from {source} to {target}")
+    raise ValueError(f"no two tables lead from {source} to {target}; plans.identifiers.equivalence takes any number")
 
 
 def paste(tables: list[KeyedFrame], all_match: bool = False, missing: str | None = None, prefixes: list[str] | None = None, same_fields: bool = False, sep: str = "|") -> KeyedFrame:

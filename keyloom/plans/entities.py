@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from keyloom.frame import inner_name
-from keyloom.plans.tasks import with_cache
+from keyloom.plans.tasks import Store, with_cache
 
 
 class Formats:
@@ -64,6 +64,13 @@ class Property:
         rows = df.join(every.toDF("_id", self.name), F.col(f"`{key}`") == F.col("_id"), "left").drop("_id")
         return rows, new
 
+    def stored(self, df: DataFrame, key: str, store: Store) -> DataFrame:
+        """The same by a store of (id, value), which keeps what is worked out:
+        no id is asked for twice, over all frames and sessions."""
+        fetch = self.many or (lambda d: d.select("id", self.single(F.col("id")).alias("value")))
+        found = store.get(df.select(F.col(f"`{key}`").alias("id")), lambda d: fetch(d).toDF("id", "value"))
+        return df.join(found.toDF("_id", self.name), F.col(f"`{key}`") == F.col("_id"), "left").drop("_id")
+
 
 def annotate(df: DataFrame, key: str, **notes) -> DataFrame:
     """The ids with the same notes on each."""

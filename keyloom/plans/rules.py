@@ -60,7 +60,8 @@ def _edges(kb: KnowledgeBase, rule: Rule) -> DataFrame:
         e = kb.where(name, rule.where)
         for end in ("source", "target"):
             if not isinstance(said := getattr(rule, end), Var):
-                e = e.where(F.col(end).cast("string") == str(said))
+                # The literal takes the column's type, so the filter reaches the files.
+                e = e.where(F.col(end) == F.lit(said).cast(e.schema[end].dataType))
         parts.append(e.select("source", "target", F.lit(name).alias("db")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -1,14 +1,16 @@
 """Keyed tables as text: header grammar, scanning, casts and writing.
 
 A file may start with ``#: :key=value#:key=value`` (options) and a line
-``#Key<TAB>Field...``. The driver reads the first lines only; the scan itself
-is Spark's text source and column functions.
+``#Key<TAB>Field...``. The driver reads the first lines of each file only; the
+scan itself is Spark's text source and column functions.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ from keyloom.operators.load import first_wins, merge, merge_zipped
 from keyloom.operators.shape import records, to_double
 
 
+#: Files whose headers are broadcast if they differ.
+FILES = 100_000
+
+
 def option_value(text: str):
     if text.startswith(":"):
         return text[1:]
@@ -64,14 +70,81 @@ def pattern(sep: str) -> str:
     return sep[1:-1] if len(sep) > 2 and sep[0] == sep[-1] == "/" else re.escape(sep)
 
 
-def parse_header(lines: list[str], sep: str = "\t", mark: str = "#") -> tuple[dict, list[str] | None]:
-    """Options, and the names in the header line if there is one."""
+def parse_header(lines: list[str], sep: str = "\t", mark: str | bool = "#") -> tuple[dict, list[str] | None]:
+    """Options, and the names in the header line if there is one: of the lines
+    at the top that start with the mark, the last. With an empty mark, or True,
+    the first line is the header, whatever it starts with, and no line has
+    options; with False there is none."""
+    options, names, _ = _head(lines, sep, mark)
+    return options, names
+
+
+def _head(lines: list[str], sep: str, mark: str | bool) -> tuple[dict, list[str] | None, list[str]]:
+    """Options, names, and the marked lines before the header."""
+    if mark is False:
+        return {}, None, []
+    split = lambda line, by: [x.strip() for x in re.split(pattern(by), line)]
+    if mark is True or not mark:
+        return {}, split(lines[0], sep) if lines else None, []
     options: dict = {}
-    if lines and lines[0].startswith("#: "):
-        options, lines = parse_options(lines[0][3:]), lines[1:]
-    if lines and (not mark or lines[0].startswith(mark)):
-        return options, [x.strip() for x in re.split(pattern(options.get("sep", sep)), lines[0][len(mark) :])]
-    return options, None
+    if lines and lines[0].startswith(f"{mark}: "):
+        options, lines = parse_options(lines[0][len(mark) + 2 :]), lines[1:]
+    marked = list(itertools.takewhile(lambda x: x.startswith(mark), lines))
+    if not marked:
+        return options, None, []
+    return options, split(marked[-1][len(mark) :], str(options.get("sep", sep))), marked[:-1]
+
+
+def first_lines(spark: SparkSession, path: str, mark: str | bool = "#") -> list[str]:
+    """The lines at a file's top that start with the mark, and the next one.
+    Read by way of the file system that Spark uses, as footers are when a
+    schema is inferred; no more of the file than that."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    stream = where.getFileSystem(conf).open(where)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    lines: list[str] = []
+    try:
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+            if not isinstance(mark, str) or not mark or not line.startswith(mark):
+                break
+    finally:
+        reader.close()
+    return lines
+
+
+def preamble(spark: SparkSession, path: str, sep: str = "\t", mark: str | bool = "#") -> dict:
+    """The options, header names and preamble lines of a file, or of the first
+    file of a folder that has a header."""
+    found: dict = {"options": {}, "names": None, "preamble": []}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        options, names, before = _head(first_lines(spark, file, mark), sep, mark)
+        if names is not None:
+            return {"options": options, "names": names, "preamble": before}
+        found["options"] = found["options"] or options
+    return found
+
+
+def _variants(spark: SparkSession, files: list[str], sep: str, sep2: str, mark: str | bool) -> tuple[list[tuple], dict[str, int], dict]:
+    """The distinct (names, sep, sep2) of the files, which file has which, and
+    the first file's options. A file without a header takes that of the first
+    file that has one; where none has, columns are numbered."""
+    read = list(ThreadPool(8).imap(lambda f: first_lines(spark, f, mark), files)) if len(files) > 1 else [first_lines(spark, f, mark) for f in files]
+    heads = [_head(lines, sep, mark)[:2] for lines in read]
+    first = next(((o, n) for o, n in heads if n is not None), None)
+    if first is None:
+        options = next((o for o, _ in heads if o), {})
+        row = next((lines[-1] for lines in read if lines), None)
+        by = str(options.get("sep", sep))
+        first = options, ["ID", *(f"F{i}" for i in range(1, len(re.split(pattern(by), row)) if row is not None else 1))]
+    known: dict[tuple, int] = {}
+    of_file = {}
+    for file, (options, names) in zip(files, heads):
+        own, named = (options, names) if names is not None else (options or first[0], first[1])
+        of_file[file] = known.setdefault((tuple(named), str(own.get("sep", sep)), str(own.get("sep2", sep2))), len(known))
+    return list(known), of_file, first[0]
 
 
 def number(cell: Column, kind: str) -> Column:
@@ -94,7 +167,7 @@ def open_table(
     how: str = "merge",
     grep: str | None = None,
     invert_grep: bool = False,
-    mark: str = "#",
+    mark: str | bool = "#",
     fixed_grep: bool = False,
     head: int | None = None,
     select: Callable[[Column], Column] | None = None,
@@ -105,39 +178,65 @@ def open_table(
     ``sep2`` are literal, or regular expressions between slashes. ``fix``
     rewrites a line, ``select`` keeps those it holds for, ``head`` the first so
     many in file order. ``spec``: key, fields and options as text, which
-    count before the arguments."""
+    count before the arguments. ``mark``: as in ``parse_header``; lines that
+    start with it are no rows.
+
+    Every file of a folder has its own header, separators and order of columns;
+    cells go to columns by name, and have no values where a file lacks the name. A
+    file without a header is read by that of the first file that has one."""
     said = parse_open_string(spec) if spec else {}
     shape, key_field, fields = said.get("type", shape), said.get("key_field") or key_field, said.get("fields", fields)
     cast, how = said.get("cast", cast), "zipped" if said.get("zipped") or said.get("one2one") else "first" if said.get("merge") is False else how
     cast = {"to_i": "long", "to_f": "double"}.get(cast, cast)
     lines = spark.read.text(path)
-    top = [r.value for r in lines.limit(2).collect()]
-    if mark and top and not top[0].startswith(mark) and len(lines.inputFiles()) > 1:
-        # A folder of several files: the header is in one of them.
-        marked = sorted((r.value for r in lines.where(F.col("value").startswith(mark)).limit(2).collect()), key=lambda x: not x.startswith("#: "))
-        top = marked or top
-    options, names = parse_header(top, sep, mark)
-    shape, sep, sep2 = said.get("type") or options.get("type", shape), options.get("sep", sep), options.get("sep2", sep2)
-    if names is None:
-        names = ["ID", *(f"F{i}" for i in range(1, len(re.split(pattern(sep), top[0])) if top else 1))]
-    header = top[int(top[0].startswith("#: "))] if top and not mark else None
-    rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != (header or "")) & (F.col("value") != ""))
+    files = sorted(lines.inputFiles())
+    heads, of_file, options = _variants(spark, files, sep, sep2, mark)
+    if not heads:
+        heads = [(("ID",), sep, sep2)]
+    shape = said.get("type") or options.get("type", shape)
+    names = list(dict.fromkeys(n for own, _, _ in heads for n in own))
+    rows = lines.where("value <> ''").withColumns({"_file": F.input_file_name(), "_id": F.monotonically_increasing_id()})
+    if isinstance(mark, str) and mark:
+        rows = rows.where(~F.startswith("value", F.lit(mark)))
+    elif mark is not False:
+        # The first line of each file, by its place: the ids of the (few) rows
+        # that read like a header.
+        tops = list(dict.fromkeys(x for f in files for x in first_lines(spark, f, mark)[:1]))
+        drop = rows.where(F.col("value").isin(tops)).groupBy("_file").agg(F.min("_id").alias("_id"))
+        rows = rows.join(drop, ["_file", "_id"], "left_anti")
+    if len(heads) == 1:
+        rows = rows.withColumn("_h", F.lit(0))
+    else:
+        # One row for each file, as the driver has them listed.
+        which = spark.createDataFrame(sorted(of_file.items()), "_file string, _h int")
+        rows = rows.join(F.broadcast(which) if len(files) <= FILES else which, "_file")
     if grep:
         holds = F.col("value").contains(grep) if fixed_grep else F.col("value").rlike(grep)
         rows = rows.where(~holds if invert_grep else holds)
-    rows = rows.withColumns({"_file": F.input_file_name(), "_id": F.monotonically_increasing_id()})
     if fix:
         rows = rows.withColumn("value", fix(F.col("value")))
     if select:
         rows = rows.where(F.coalesce(select(F.col("value")), F.lit(False)))
     if head is not None:
         rows = rows.orderBy("_file", "_id").limit(head)
-    key = key_field or names[0]
+    key = key_field or heads[0][0][0]
     own = fields or [n for n in names if n != key]
-    parts = F.split("value", pattern(sep), -1)
-    rows = rows.select("_file", "_id", parts.alias("_p"))
-    cell = lambda n: F.get("_p", F.lit(names.index(n)))
-    split = lambda c: F.when(c == "", F.array()).otherwise(F.split(c, pattern(sep2), -1))
+    if missing := [n for n in [key, *own] if n not in names]:
+        raise KeyError(f"no field {missing} among {names}")
+
+    def by_head(make: Callable[[tuple], object], use: Callable[[object], Column]) -> Column:
+        """What ``use`` makes of each head's value; of those with equal values
+        once."""
+        values = [make(h) for h in heads]
+        parts = {v: use(v) for v in dict.fromkeys(values)}
+        if len(parts) == 1:
+            return next(iter(parts.values()))
+        return F.coalesce(*(F.when(F.col("_h").isin([i for i, x in enumerate(values) if x == v]), c) for v, c in parts.items()))
+
+    parts = by_head(lambda h: h[1], lambda by: F.split("value", pattern(by), -1))
+    rows = rows.select("_file", "_id", "_h", parts.alias("_p"))
+    cell = lambda n: by_head(lambda h: h[0].index(n) if n in h[0] else -1, lambda i: F.get("_p", F.lit(i)) if i >= 0 else F.lit(None).cast("string"))
+    split = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(by_head(lambda h: h[2], lambda by: F.split(c, pattern(by), -1)))
     order = ["_file", "_id"]
     to = (lambda c: number(c, cast)) if cast else (lambda c: c)
     if shape in ("single", "list"):
@@ -148,7 +247,7 @@ def open_table(
     if shape == "flat":
         rest = F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))) if not fields else F.array(*(cell(f) for f in own))
         cells, own = {own[0]: F.flatten(F.transform(rest, split))}, own[:1]
-    wide = rows.select(*order, F.array_distinct(F.split(cell(key), pattern(sep2), -1)).alias(key), *(c.alias(f) for f, c in cells.items()))
+    wide = rows.select(*order, F.array_distinct(by_head(lambda h: h[2], lambda by: F.split(cell(key), pattern(by), -1))).alias(key), *(c.alias(f) for f, c in cells.items()))
     if how in ("zipped", "first"):
         t = merge_zipped(wide, key, own, order, how == "first")
     else:
@@ -182,6 +281,17 @@ def lines(t: KeyedFrame, sep: str = "\t", sep2: str = "|"):
         yield r.value
 
 
+def key_lines(t: KeyedFrame) -> DataFrame:
+    """The keys, a line each."""
+    return t.df.select(F.col(f"`{t.key}`").cast("string").alias("value")).where("value is not null")
+
+
+def value_lines(t: KeyedFrame, fields: list[str] | None = None) -> DataFrame:
+    """The values of the fields, a line each."""
+    own = [t.field(f) for f in fields] if fields else t.fields
+    return t.df.select(F.explode(F.concat(*(F.transform(t.values(f), lambda x: x.cast("string")) for f in own))).alias("value"))
+
+
 def unmerged(t: KeyedFrame, expand: bool = False) -> KeyedFrame:
     """A row for each zipped record under its key."""
     return KeyedFrame(records(t, expand).drop("_i"), t.key, t.fields, "list")
@@ -268,8 +378,10 @@ def load_result(spark: SparkSession, path: str, kind: str):
     if kind in ("tsv", "csv"):
         return open_table(spark, path) if kind == "tsv" else read_csv(spark, path)
     if kind in ("integer", "float", "boolean", "string"):
-        text = "\n".join(r.value for r in spark.read.text(path).limit(1000).collect()).strip()
-        return {"integer": int, "float": float, "boolean": lambda x: x == "true", "string": str}[kind](text)
+        # Whole files, without the newline that ends the last line of each.
+        parts = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name()).orderBy("_file").collect()
+        text = "\n".join(r.value.removesuffix("\n") for r in parts)
+        return {"integer": int, "float": float, "boolean": lambda x: x.strip() == "true", "string": str}[kind](text)
     if kind == "binary":
         return spark.read.format("binaryFile").load(path).select("path", "content")
     if kind not in KINDS:
