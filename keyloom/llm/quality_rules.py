@@ -1,7 +1,9 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is held against the line rules: it should end like a sentence, not
-be a row of navigation, not be boilerplate and not be clutter. Failing lines are
+Every line is held against the line rules: it should end like a sentence (by
+the marks of its script; scripts without marks are excepted), not be a row of
+navigation, not be boilerplate (a list of phrases in four languages: in others
+no line is boilerplate) and not be clutter. Failing lines are
 removed, and a document that loses too much of its text that way is rejected,
 besides those that the base counts reject.
 
@@ -23,8 +25,17 @@ MIN_WORDS = 50
 #: Shares in percent.
 MAX_REPEATED = 50
 MAX_LOST = 50
-#: A line ends like a sentence where its last characters match.
-TERMINAL = r"[.!?:;…。！？]['\"”’»)\]]*[\x20\x09-\x0D]*$"
+#: ASCII marks that end a sentence or clause, other marks of
+#: Unicode's class Po that end none (commas, bullets, references, quotes), what
+#: may close after a mark, and the blocks of scripts written without any mark
+#: (Thai and Lao; Tai Le and New Tai Lue; Tai Viet).
+ASCII_MARKS = ".!?:;"
+NO_MARKS = "،、，､﹐﹑՝՚·•‣‧※†‡‰‱′″‴‵‶‷¿¡§¶＠＃％＆＊／＼"
+CLOSERS = "'\"”’»›)\\]」』）】》"
+UNMARKED = "\u0E00-\u0EFF\u1950-\u19DF\uAA80-\uAADF"
+#: A line ends like a sentence where its last characters match: a mark of class
+#: Po in any script, or a letter of a script that has none.
+TERMINAL = rf"([{ASCII_MARKS}]|[^\P{{Po}}\x00-\x7F{NO_MARKS}]|[{UNMARKED}])[{CLOSERS}]*[\x20\x09-\x0D]*$"
 #: Marks between the entries of a navigation row.
 NAVIGATION = r"(^|[\x20\x09-\x0D])[|>»›•·/]($|[\x20\x09-\x0D])"
 #: In English, German, French and Spanish.
