@@ -121,11 +121,15 @@ def linked(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     edges = materialize(first.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "links")
     found = materialize(components(edges), "roots")
     placed = materialize(chains.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "chains")
-    # A head whose nodes are all in the asking node's component has nothing new for it.
-    bounds = placed.groupBy("turn", "head").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    asking = _flipped(placed, bits, "root").join(bounds, ["turn", "head"]).where((F.col("low") != F.col("root_a")) | (F.col("high") != F.col("root_a")))
-    right = placed.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), "turn", "head", F.col("root").alias("root_b"))
-    more = asking.join(right, ["turn", "head"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near(bits)).select("a", "b").distinct()
+    # A head whose nodes are all in the asking node's component has nothing new
+    # for it. At others the largest component's nodes meet only the rest, and
+    # the rest all, so no component is paired with itself for a few strangers.
+    sizes = placed.groupBy("turn", "head", "root").agg(F.count(F.lit(1)).alias("n"))
+    bounds = sizes.groupBy("turn", "head").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("several"))
+    asking = _flipped(placed, bits, "root").join(bounds, ["turn", "head"]).where((F.col("several") > 1) | (F.col("major") != F.col("root_a")))
+    asking = asking.withColumn("of_major", F.explode(F.when(F.col("root_a") == F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))))
+    right = placed.join(bounds, ["turn", "head"]).select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), "turn", "head", F.col("root").alias("root_b"), (F.col("root") == F.col("major")).alias("of_major"))
+    more = asking.join(right, ["turn", "head", "of_major"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near(bits)).select("a", "b").distinct()
     return components(edges.unionByName(more))
 
 
@@ -170,10 +174,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """key, fingerprint (hexadecimal), component_id: the smallest key that
-    links lead to."""
+    links lead to. A row without a key has a fingerprint too, and the component
+    of the rows that share it, or none (null) where all of these are without a
+    key; such a fingerprint links nothing."""
     prints = materialize(fingerprints(df, key, text, words), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(key).alias("node")), "nodes")
-    roots = linked(nodes, bits)
+    roots = linked(nodes.where("node is not null"), bits)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
