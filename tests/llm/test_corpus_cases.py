@@ -257,3 +257,65 @@ def test_repeated_messages(spark):
     own = reply_trees.unique(spark.createDataFrame(rows, "id long, parent long, score double, role string, text string"))
     shown = reply_trees.format_paths(reply_trees.paths(own), own).select(reply_trees.read_back("formatted").alias("t")).collect()
     assert [[tuple(x) for x in r.t] for r in shown] == [[("user", "q"), ("assistant", "a")]]
+
+
+#: A sentence of each script, with its own last mark where it has one.
+SCRIPTS = {
+    "Hindi": "यह एक साधारण वाक्य है जो यहाँ लिखा गया है।",
+    "Arabic": "هل هذه جملة عادية مكتوبة هنا في هذا النص؟",
+    "Urdu": "یہ ایک عام جملہ ہے جو یہاں لکھا گیا ہے۔",
+    "Armenian": "Սա սովորական նախադասություն է որ գրված է այստեղ։",
+    "Thai": "นี่ คือ ประโยค ธรรมดา ที่ เขียน ไว้ ใน ข้อความ นี้",
+    "Lao": "ນີ້ ແມ່ນ ປະໂຫຍກ ທຳມະດາ ທີ່ ຂຽນ ໄວ້ ທີ່ ນີ້",
+    "Amharic": "ይህ እዚህ የተጻፈ ተራ ዓረፍተ ነገር ነው።",
+    "Burmese": "ဤ စာကြောင်း သည် သာမန် စာကြောင်း တစ်ခု ဖြစ် သည်။",
+    "Japanese": "これ は ここ に 書かれ た 普通 の 文 です。",
+    "Khmer": "នេះ ជា ប្រយោគ ធម្មតា ដែល បាន សរសេរ នៅ ទីនេះ។",
+    "Russian": "Это обычное предложение которое здесь написано!",
+    "English": "This is a plain sentence that is written here.",
+}
+
+
+def test_quality_in_many_scripts(spark):
+    """Prose stays in any script, and the same lines without their mark go in
+    those scripts that have one."""
+    lines = {k: "\n".join(" ".join(f"{i}{w}" for w in v.split()) for i in range(10)) for k, v in SCRIPTS.items()}
+    bare = {k: "\n".join(x[:-1] + "," for x in v.split("\n")) for k, v in lines.items() if k not in ("Thai", "Lao")}
+    df = spark.createDataFrame([*((k, "whole", v) for k, v in lines.items()), *((k, "bare", v) for k, v in bare.items())], "doc_id string, kind string, text string")
+    got = quality_rules.quality(df, "text", ["doc_id", "kind"]).collect()
+    assert all(not r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kind == "whole" and r.kept} == set(SCRIPTS)
+    assert not any(r.kept for r in got if r.kind == "bare")
+
+
+def test_simhash_without_ids(spark):
+    rows = [(None, "a lone text without any id"), (None, "shared words of one text"), (4, "shared words of one text"), (2, "quite another text here"), (None, None), (9, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by_print = {}
+    for r in got:
+        by_print.setdefault(r.fingerprint, set()).add(r.component_id)
+    assert by_print["0" * 16] == {9} and {frozenset(v) for v in by_print.values()} == {frozenset([9]), frozenset([None]), frozenset([4]), frozenset([2])}
+
+
+def test_a_dense_head_meets_strangers_only(spark):
+    """Many fingerprints of one component and one stranger in the same heads:
+    the links are those of all pairs."""
+    base = 0x0123456789ABCDEF
+    prints = sorted({base ^ (1 << i) ^ (1 << j) for i in range(16, 64) for j in range(16, 64)} | {base, base ^ 0xFFFF_0000, 0x0123_4567_0000_0000})
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 3:
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    found = {r.node: r.root for r in simhash.linked(nodes).collect()}
+    assert [found.get(i, i) for i in range(len(prints))] == [find(i) for i in range(len(prints))]

@@ -247,18 +247,19 @@ def test_matrix_sums_and_chances():
 
 
 def test_shuffle_is_uniform(spark):
-    """Of 6 rows in 3 shards, each pair (row, shard and slot) is about as
-    frequent over seeds, and so is each pair of neighbours."""
-    rows, seeds = spark.range(6).coalesce(1), 150
-    rows.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/uniform")
-    spots, together = Counter(), Counter()
-    for seed in range(seeds):
-        got = sharding.shuffled(spark.read.parquet(path), 3, seed, as_read=True).collect()
-        spots.update((r.id, r.shard, r.slot) for r in got)
-        at = {(r.shard, r.slot): r.id for r in got}
-        together.update(frozenset((at[s, 0], at[s, 1])) for s in range(3))
-    assert len(spots) == 36 and all(abs(n - seeds / 6) < 5 * (seeds * 5 / 36) ** 0.5 for n in spots.values())
-    assert len(together) == 15 and all(abs(n - seeds / 5) < 5 * (seeds * 4 / 25) ** 0.5 for n in together.values())
+    """Where rows stand before says nothing about shard and slot, nor about the
+    neighbour: counts over tenths of both are as even as by chance."""
+    n, shards = 6000, 3
+    got = sharding.shuffled(spark.range(n).coalesce(1), shards).collect()
+    at = {(r.shard, r.slot): r.id for r in got}
+    spots = Counter((r.id * 10 // n, r.shard, r.slot * 10 * shards // n) for r in got)
+    pairs = Counter((at[s, k] * 10 // n, at[s, k + 1] * 10 // n) for s in range(shards) for k in range(n // shards - 1))
+    for counts, cells in ((spots, 300), (pairs, 100)):
+        mean = sum(counts.values()) / cells
+        chi = sum((counts[c] - mean) ** 2 for c in counts) / mean + (cells - len(counts)) * mean
+        assert abs(chi - cells) < 5 * (2 * cells) ** 0.5
+    other = {r.id: (r.shard, r.slot) for r in sharding.shuffled(spark.range(n).coalesce(1), shards, seed=14).collect()}
+    assert sum(other[r.id] == (r.shard, r.slot) for r in got) < 12
 
 
 def test_permutation_of_any_size(spark):
