@@ -42,11 +42,15 @@ UNKNOWN = "und"
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.3, 0.1, 0.005, 0.05, 3, 10.0
 
 
+def _plain(c: int) -> int:
+    """A letter in lower case, where that is one letter; a blank for others."""
+    low = chr(c).lower()
+    return (ord(low) if len(low) == 1 else c) if chr(c).isalpha() else 32
+
+
 def _lower() -> np.ndarray:
     out = np.arange(TABLE + 1, dtype=np.uint32)
-    for c in range(TABLE):
-        low = chr(c).lower()
-        out[c] = (ord(low) if len(low) == 1 else c) if chr(c).isalpha() else 32
+    out[:TABLE] = [_plain(c) for c in range(TABLE)]
     return out
 
 
@@ -61,8 +65,8 @@ def grams(texts: list[str]) -> tuple[Block, list[tuple[np.ndarray, np.ndarray]],
     codes = block.codes
     if block.wide().any():
         beyond = np.flatnonzero((codes >= TABLE) & (codes != SEPARATOR))
-        blank = [not chr(c).isalpha() for c in codes[beyond].tolist()]
-        codes[beyond[blank]] = 32
+        distinct, which = np.unique(codes[beyond], return_inverse=True)
+        codes[beyond] = np.array([_plain(c) for c in distinct.tolist()], codes.dtype)[which]
     stop, blank = codes == SEPARATOR, codes == 32
     values = _mix(codes)
     letters = np.concatenate(([0], np.cumsum(~stop & ~blank)))
