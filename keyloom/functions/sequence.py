@@ -63,21 +63,28 @@ def protein_change(hgvs: Column) -> Column:
     return F.when(short.rlike(rf"^{one}\d+{one}"), short).when(short.rlike("fs"), F.concat(start, F.lit("Frameshift"))).when(short.rlike("ins|del|dup|>"), F.concat(start, F.lit("Indel")))
 
 
+#: A coding change: where it starts and ends, its kind, and what it puts there.
+_DNA = r"^.*?(?:(\d+)(?:_(\d+))?)?[ACGTN]*(>|delins|del|ins)([^>]*)$"
+
+
 def dna_change(hgvs: Column) -> Column:
     """A coding change as its allele: the new base of a substitution, a mark
     ``-`` for each deleted base, ``+`` and the inserted ones; ``?(...)`` for
     what says neither. The size of a replaced range is that from its first to
     its last position."""
-    unknown = F.concat(F.lit("?("), hgvs, F.lit(")"))
-    last = lambda word: F.substring_index(hgvs, word, -1)
-    bases, marks = lambda c: c.rlike("(?i)^[ACGT]+$"), lambda n: F.repeat(F.lit("-"), n.cast("int"))
-    before = F.substring_index(hgvs, "delins", 1)
-    at = lambda i: F.regexp_extract(before, r"(\d+)(?:_(\d+))?$", i).try_cast("long")
-    size = F.coalesce(at(2) - at(1) + 1, F.lit(1))
-    replaced = F.when(bases(last("delins")), F.concat(marks(size), last("delins"))).otherwise(unknown)
-    deleted = F.when(last("del").rlike(r"^\d+$"), marks(last("del").try_cast("int"))).when(bases(last("del")), marks(F.length(last("del")))).otherwise(unknown)
-    inserted = F.when(last("ins").rlike(r"^\d+$"), F.concat(F.lit("+"), F.repeat(F.lit("N"), last("ins").try_cast("int")))).when(last("ins").rlike("(?i)^[NACGT]+$"), F.concat(F.lit("+"), last("ins"))).otherwise(unknown)
-    return F.when(hgvs.contains(">"), last(">")).when(hgvs.contains("delins"), replaced).when(hgvs.contains("del"), deleted).when(hgvs.contains("ins"), inserted).otherwise(unknown)
+    start, end, kind, what = (F.regexp_extract(hgvs, _DNA, i) for i in range(1, 5))
+    count, bases = what.try_cast("int"), what.rlike("(?i)^[ACGT]+$")
+    of = lambda mark, n: F.repeat(F.lit(mark), n.cast("int"))
+    size = F.coalesce(end.try_cast("long") - start.try_cast("long") + 1, F.lit(1))
+    allele = (
+        F.when(kind == ">", what)
+        .when((kind == "delins") & bases, F.concat(of("-", size), what))
+        .when((kind == "del") & count.isNotNull(), of("-", count))
+        .when((kind == "del") & bases, of("-", F.length(what)))
+        .when((kind == "ins") & count.isNotNull(), F.concat(F.lit("+"), of("N", count)))
+        .when((kind == "ins") & what.rlike("(?i)^[NACGT]+$"), F.concat(F.lit("+"), what))
+    )
+    return F.coalesce(allele, F.concat(F.lit("?("), hgvs, F.lit(")")))
 
 
 def _alleles(text: Column) -> Column:

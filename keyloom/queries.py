@@ -588,7 +588,8 @@ def q70_transpose_segments(t):
 
 
 import keyloom.more_queries  # noqa: E402, F401  (registers more)
-import keyloom.stored_queries  # noqa: E402, F401  (registers the rest)
+import keyloom.stored_queries  # noqa: E402, F401
+import keyloom.small_queries  # noqa: E402, F401  (registers the rest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -340,6 +340,32 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, shape: str = "
     return t.with_df(t.df, shape=shape, meta={})
 
 
+def through_pandas(t: KeyedFrame, change: Callable, schema) -> KeyedFrame:
+    """The table by way of pandas: ``change`` gets batches of rows as a frame
+    whose index is the key, inside the tasks, and gives one of the same kind.
+    ``schema``: of key and fields then."""
+
+    key = t.key
+
+    def run(batches):
+        for batch in batches:
+            yield change(batch.set_index(key)).rename_axis(key).reset_index()
+
+    made = t.df.mapInPandas(run, schema)
+    return KeyedFrame(made, t.key, [c for c in made.columns if c != t.key], t.shape)
+
+
+def to_pandas(t: KeyedFrame):
+    """The whole table as a frame of the driver, with the key as its index."""
+    return t.df.toPandas().set_index(t.key)
+
+
+def from_pandas(spark: SparkSession, frame, key: str | None = None) -> KeyedFrame:
+    """A frame of the driver, whose index is the key."""
+    name = key or frame.index.name or "ID"
+    return keyed(spark.createDataFrame(frame.rename_axis(name).reset_index()), name)
+
+
 def open_source(spark: SparkSession, source, **options) -> KeyedFrame:
     """A keyed table from whatever it is: a keyed table, a frame (its first
     column is the key), a dict, a list of keys, or a path (by its ending:
