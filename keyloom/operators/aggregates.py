@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.frame import KeyedFrame
+from keyloom.operators.density import modes  # noqa: F401
 from keyloom.operators.load import in_order
 from keyloom.storage import materialize
 

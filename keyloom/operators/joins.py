@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.frame import KeyedFrame, same_field
 from keyloom.operators.aggregates import collapse, numbered
+from keyloom.operators.load import end_to_end
 from keyloom.operators.shape import rekey, to_double, to_list
 
 
@@ -62,7 +63,7 @@ def attach_source_key(a: KeyedFrame, b: KeyedFrame, source: str, fields: list[st
     values = a.df.select(a.key, F.struct(*a.fields).alias("_own"), F.posexplode_outer(source).alias("_i", "_k"))
     values = values.withColumn("_own", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_own")))
     found = values.join(right, "_k", "left").groupBy(a.key).agg(F.first("_own", ignorenulls=True).alias("_own"), F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_i", "_v")))).alias("_h"))
-    cell = lambda f: F.flatten(F.col("_h")["_v"][f]) if b.many else F.col("_h")["_v"][f]
+    cell = lambda f: end_to_end(F.col("_h")["_v"][f]) if b.many else F.col("_h")["_v"][f]
     return a.with_df(found.select(a.key, *(F.col("_own")[f].alias(f) for f in a.fields), *(F.coalesce(cell(f), F.array()).alias(f) for f in fields)), fields=[*a.fields, *fields])
 
 
@@ -71,7 +72,7 @@ def attach_index(a: KeyedFrame, b: KeyedFrame, index: DataFrame, fields: list[st
     pairs = index.toDF(a.key, "_k").distinct()
     hits = pairs.join(b.df.select(F.col(b.key).alias("_k"), *fields), "_k")
     found = hits.groupBy(a.key).agg(F.sort_array(F.collect_list(F.struct("_k", *fields))).alias("_h"))
-    cell = lambda f: F.flatten(F.col("_h")[f]) if b.many else F.col("_h")[f]
+    cell = lambda f: end_to_end(F.col("_h")[f]) if b.many else F.col("_h")[f]
     rows = a.df.join(found.select(a.key, *(F.coalesce(cell(f), F.array()).alias(f) for f in fields)), a.key, "left").withColumns({f: F.coalesce(f, F.array()) for f in fields})
     return a.with_df(rows.select(a.key, *a.fields, *fields), fields=[*a.fields, *fields])
 

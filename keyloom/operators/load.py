@@ -19,12 +19,19 @@ def in_order(fields: list[str], order: list[str]) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v")))), lambda x: x["v"])
 
 
+def end_to_end(lists: Column) -> Column:
+    """The lists of a list as one; missing ones add nothing, and where all are
+    missing so is the result."""
+    held = F.filter(lists, lambda x: x.isNotNull())
+    return F.when((F.size(held) > 0) | (F.size(lists) == 0), F.flatten(held))
+
+
 def merge(df: DataFrame, key: str, fields: list[str], order: list[str]) -> KeyedFrame:
     """A list for each field: the values of a key's rows in order (lists are
     concatenated)."""
     kinds = dict(df.dtypes)
     rows = df.groupBy(key).agg(in_order(fields, order).alias("_rows"))
-    cells = [F.flatten(F.col("_rows")[f]) if kinds[f].startswith("array") else F.col("_rows")[f] for f in fields]
+    cells = [end_to_end(F.col("_rows")[f]) if kinds[f].startswith("array") else F.col("_rows")[f] for f in fields]
     return KeyedFrame(rows.select(key, *(c.alias(f) for c, f in zip(cells, fields))), key, fields, "double")
 
 

@@ -116,7 +116,7 @@ class RangeIndex:
         own.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(f"{self.path}/{part}/rows")
         written = self.spark.read.schema(own.schema).parquet(f"{self.path}/{part}/rows")
         spans = written.groupBy(F.input_file_name().alias("file"), *self.on).agg(F.min("b_start").alias("low"), F.max("b_end").alias("high"))
-        spans.coalesce(1).write.parquet(f"{self.path}/{part}/files")
+        spans.write.parquet(f"{self.path}/{part}/files")
         write_manifest(self.spark, self.path, {"parts": [*self._parts(), {"name": part, "longest": longest, "schema": own.schema.json()}]})
 
     def files(self, low: int, high: int, **group) -> list[str]:

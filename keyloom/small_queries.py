@@ -96,6 +96,13 @@ def q171_stored_results(t):
     return parts[0].unionByName(parts[1])
 
 
+@query("SELECT l_suppkey::VARCHAR AS l_suppkey, count(*)::DOUBLE AS n, max(l_quantity) AS quantity FROM lineitem GROUP BY 1")
+def q202_open_numbers(t):
+    """A matrix of numbers, written as text and opened as numbers."""
+    own = agg.reduce_by(t("lineitem"), "l_suppkey", n=F.count(F.lit(1)).cast("double"), quantity=F.max("l_quantity"))
+    return source.open_numbers(t("lineitem").sparkSession, _written(t, own)).df
+
+
 @query("SELECT s_suppkey, s_name, round(s_acctbal, 1) AS s_acctbal FROM supplier WHERE s_suppkey = 3")
 def q172_one_record(t):
     return source.record(keyed(t("supplier"), "s_suppkey", ["s_name", "s_acctbal"]), 3, 1)
@@ -195,6 +202,33 @@ def q185_notes_round_trip(t):
     return table.join(back, F.col("id") == F.col("_id")).select("key", "id", F.col("back").alias("segment"))
 
 
+@query("SELECT s_name AS id, 'firm' AS kind, 'Person' AS entity FROM supplier")
+def q203_marked_entities(t):
+    """Ids with the same note on each, in a column whose entity is known."""
+    own = entities.annotate(t("supplier"), "s_name", kind="firm").select(F.col("id").alias("name (Customer)"), "notes.kind")
+    marked = entities.Formats({"Customer": "Person"}).mark(own)
+    entity = entities.Formats.of(marked.schema)["name (Customer)"]
+    return marked.select(F.col("`name (Customer)`").alias("id"), "kind", F.lit(entity).alias("entity"))
+
+
+@query("SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS mean FROM customer GROUP BY 1")
+def q204_memo(t):
+    """A result that is made once in a session and used twice."""
+    memo = tasks.Memo()
+    rows = lambda: memo.get("rows", lambda: t("customer").select("c_nationkey", "c_acctbal"))
+    counts = rows().groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    means = rows().groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean"))
+    return counts.join(means, "c_nationkey")
+
+
+@query("SELECT event_id, (SELECT count(*) FROM events) AS seen, (SELECT max(event_id) FROM events) AS last FROM events")
+def q205_watched(t):
+    """Rows that are counted on their way."""
+    own, seen = streams.watched(t("events").select("event_id"), f"seen-{id(t)}", seen=F.count(F.lit(1)), last=F.max("event_id"))
+    held = streams.saved_through(own, scratch(t, "watched"))
+    return held.select("event_id", F.lit(seen.get["seen"]).cast("long").alias("seen"), F.lit(seen.get["last"]).cast("long").alias("last"))
+
+
 # Indices, order ---------------------------------------------------------------------
 
 

@@ -255,6 +255,12 @@ def open_table(
     return t.with_df(t.df, shape=shape, meta=options)
 
 
+def open_numbers(spark: SparkSession, path: str, **options) -> KeyedFrame:
+    """A table of numbers: a row for each key, each cell the number that it
+    starts with, null where it is empty and 0 for other text."""
+    return open_table(spark, path, shape="list", cast="double", **options)
+
+
 def lines_of(t: KeyedFrame, sep: str = "\t", sep2: str = "|") -> DataFrame:
     cells = [F.array_join(F.transform(f, lambda x: x.cast("string")), sep2, "") if t.many else F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in t.fields]
     return t.df.select(F.concat_ws(sep, F.col(t.key).cast("string"), *cells).alias("value"))

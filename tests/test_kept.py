@@ -612,3 +612,16 @@ def test_kept_filter_ids(spark, tmp_path):
     assert stack().stored_ids(root).count() == 10 and files_read(stack().stored_ids(root)) >= 1
     spark.createDataFrame([(99, "x")], "k long, f string").write.mode("append").parquet(path)
     assert stack().stored_ids(root).count() == 11
+
+
+def test_a_missing_list_loses_no_other(spark):
+    from keyloom.operators import joins, load
+
+    rows_ = [("a", 1, ["x"], None), ("a", 2, None, ["p"]), ("a", 3, ["y", "z"], []), ("b", 4, None, ["q"])]
+    df = spark.createDataFrame(rows_, "k string, o int, v array<string>, w array<string>")
+    assert rows(load.merge(df, "k", ["v", "w"], ["o"]).df) == [("a", ["x", "y", "z"], ["p"]), ("b", None, ["q"])]
+    left = KeyedFrame(spark.createDataFrame([("l", ["m", "n", "none"])], "k string, id array<string>"), "k", ["id"], "double")
+    right = KeyedFrame(spark.createDataFrame([("m", None), ("n", ["v1", "v2"])], "id string, v array<string>"), "id", ["v"], "double")
+    assert rows(joins.attach(left, right).df) == [("l", ["m", "n", "none"], ["v1", "v2"])]
+    index = spark.createDataFrame([("l", "m"), ("l", "n")], "k string, id string")
+    assert rows(joins.attach(left, right, ["v"], index=index).df.select("k", "v")) == [("l", ["v1", "v2"])]
