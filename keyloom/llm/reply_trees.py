@@ -10,7 +10,8 @@ The template marks a turn as ``<|role|>text<|end|>``. Inside roles and texts
 ``\\``, ``<`` and ``|`` are written ``\\b``, ``\\l`` and ``\\p``, so no control
 string can occur there and reading back is exact.
 
-Results by case: a null text or role counts as empty; a reply to a message that
+Results by case: a null text or role counts as empty; rows whose conversation's
+id is null are one conversation, whose id is null; a reply to a message that
 isn't there starts a tree; messages that reply to each other in a circle have
 no root and are in no path; of several rows with one message id ``unique``
 keeps the one of smallest role and text, and the other functions take ids that

@@ -45,6 +45,9 @@ def test_toxicity(docs):
     got = both(docs, lambda d: toxicity.score(d, net, "text", ["doc_id"]))
     assert len(got) == len(TEXTS) and all(r.score == 0 for r in got if r.doc_id in (1, 2, 3))
     assert both(docs, lambda d: toxicity.clean(d, None, "text")) == docs.collect()
+    # With a network: rows under the threshold stay as they are, whatever else they hold.
+    scores = {r._text: r.score for r in toxicity.score(docs.select("text", F.col("text").alias("_text")), net, "text", ["_text"]).collect()}
+    assert sorted(both(docs, lambda d: toxicity.clean(d, net, "text")), key=str) == sorted((r for r in docs.collect() if scores[r.text] < 0.5), key=str)
     assert toxicity.train([], []) is None and toxicity.train(["a"], [1]) is None
 
 
@@ -116,6 +119,8 @@ def test_url_lists(spark):
     none = (False, 0, None, None)
     assert run(captures, entries) == [(1, True, 2, "a.b.com", 10), (2, True, 1, "a.b.com", 10), (3, True, 1, "b.com", 5), (4, *none), (5, *none), (6, *none), (6, *none)]
     assert run(captures.limit(0), entries) == [] and all(not r[1] for r in run(captures, entries.limit(0)))
+    extra = {c: F.lit("x") for c in ("host", "name", "since", "until", "slice", "fetched", "blocked", "entry")}
+    assert run(captures.withColumns(extra), entries.withColumns({c: F.lit(1) for c in ("host", "slice", "since", "until", "fetched")})) == run(captures, entries)
 
 
 def test_pipeline(spark):
