@@ -253,7 +253,8 @@ def q27_translate(t):
 @query("SELECT e.event_id, p.event_id AS b_id FROM events e JOIN events p ON p.event_type = 'purchase' AND e.ts BETWEEN p.ts AND p.ts + INTERVAL 1 HOUR")
 def q28_points_in_ranges(t):
     points = t("events").select("event_id", micros("ts").alias("pos"))
-    return intervals.points_in(points, purchases(t), [], 3_600_000_000, longest=3_600_000_000).select("event_id", "b_id")
+    # Bins of a quarter of the intervals' length: a point meets little more than what holds it.
+    return intervals.points_in(points, purchases(t), [], 900_000_000, longest=3_600_000_000).select("event_id", "b_id")
 
 
 @query("SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts <= b.ts + INTERVAL 10 MINUTE AND b.ts <= a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' AND b.event_type = 'purchase'")
