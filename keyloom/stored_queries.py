@@ -206,7 +206,7 @@ def _strand(key: str, seed: str):
     return F.translate(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
-@query("SELECT s_suppkey, s_suppkey AS c_custkey, 60 AS score, 0 AS q_start, 32 AS q_end, 0 AS t_start, 32 AS t_end, 96.875 AS percent FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)")
+@query("SELECT s_suppkey, s_suppkey AS c_custkey, 60 AS score, 0 AS q_start, 32 AS q_end, 0 AS t_start, 32 AS t_end, 96.875::DOUBLE AS percent FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)")
 def q144_best_alignment(t):
     """Suppliers' strands against all customers': each is that of a customer,
     with one base changed (tested against aligning all pairs, too)."""
