@@ -449,7 +449,7 @@ def q119_json(t):
 def q120_shards(t):
     """A range of keys in one shard of a stored table."""
     spark = t("orders").sparkSession
-    held = tasks.persist(spark, shared_dir(spark), "orders", {"files": sorted(t("orders").inputFiles())}, lambda: t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), check=t("orders").inputFiles(), shards=["o_orderstatus"])
+    held = tasks.persist(spark, shared_dir(spark), "orders", {"files": tasks.files_of(t("orders"))}, lambda: t("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), check=tasks.files_of(t("orders")), shards=["o_orderstatus"])
     return tasks.range_scan(held.where("o_orderstatus = 'P'"), "o_orderkey", 100, 900).select("o_orderkey", "o_totalprice")
 
 

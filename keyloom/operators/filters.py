@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.frame import KeyedFrame
-from keyloom.plans.tasks import persist
+from keyloom.plans.tasks import files_of, persist
 
 _COMPARE: dict[str, Callable] = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -104,8 +104,8 @@ class FilterStack:
         and found anew when any file of the paths to ``check`` has changed (by
         default those that the table is read from)."""
         spark = self.table.df.sparkSession
-        about = {"key": self.table.key, "files": sorted(self.table.df.inputFiles()), "filters": [[n, repr(s)] for n, s in self.filters]}
-        return persist(spark, root, "filter", about, lambda: self.ids(), check=list(check) or self.table.df.inputFiles())
+        about = {"key": self.table.key, "files": files_of(self.table.df), "filters": [[n, repr(s)] for n, s in self.filters]}
+        return persist(spark, root, "filter", about, lambda: self.ids(), check=list(check) or files_of(self.table.df))
 
 
 def field_index(t: KeyedFrame, name: str) -> DataFrame:

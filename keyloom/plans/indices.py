@@ -128,7 +128,8 @@ class RangeIndex:
             for name, value in group.items():
                 spans = spans.where(F.col(name) == value)
             names += [r.file for r in spans.select("file").distinct().collect()]
-        return sorted(names)
+        jvm = self.spark._jvm
+        return sorted(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(n)).toString() for n in names)
 
     def over(self, low: int, high: int | None = None, **group) -> DataFrame:
         """The intervals that share a position with a point or a closed range of

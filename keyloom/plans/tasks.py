@@ -40,6 +40,13 @@ def is_fresh(spark: SparkSession, path: str, expiration: float | None = None, ch
     return all((at := _made_at(spark, p)) is None or at <= made for p in check)
 
 
+def files_of(df: DataFrame) -> list[str]:
+    """The files that a frame is read from, as paths (Spark names them as
+    URIs, in which a blank is ``%20``)."""
+    jvm = df.sparkSession._jvm
+    return sorted(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in df.inputFiles())
+
+
 # What a result is made from --------------------------------------------------------
 
 

@@ -213,7 +213,7 @@ def test_range_index(spark, tmp_path):
     rng = random.Random(4)
     data = [(rng.choice("xy"), s := rng.randrange(100_000), s + rng.choice([0, 5, 300, 40_000]), i) for i in range(800)]
     frame = spark.createDataFrame(data, "g string, b_start long, b_end long, id long")
-    index = indices.RangeIndex(spark, str(tmp_path / "ranges"), ["g"], 64)
+    index = indices.RangeIndex(spark, str(tmp_path / "a range"), ["g"], 64)
     with pytest.raises(FileNotFoundError):
         index.over(1, g="x")
     index.append(frame.where("id < 500"), files=24)
@@ -605,7 +605,7 @@ def test_filled_lines(spark):
 
 
 def test_kept_filter_ids(spark, tmp_path):
-    path = str(tmp_path / "t")
+    path = str(tmp_path / "a table")
     spark.createDataFrame([(i, "xy"[i % 2]) for i in range(20)], "k long, f string").write.parquet(path)
     stack = lambda: filters.FilterStack(keyed(spark.read.parquet(path), "k")).add("f", "x")
     root = str(tmp_path / "root")
