@@ -10,6 +10,7 @@ import pytest
 
 from keyloom.llm import license_scan
 
+#: Public license wording, here to the next table.
 CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
 disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
