@@ -79,6 +79,33 @@ def banded(a: np.ndarray, b: np.ndarray, low: int, high: int, match: int, mismat
     return score, int(i), q_end, int(i - (low + d - 1)), t_end, same
 
 
+def best_scores(a: list[np.ndarray], b: list[np.ndarray], low: np.ndarray, width: int, match: int, mismatch: int, gap: int) -> np.ndarray:
+    """The best score of each of many pairs in its own band, all bands as wide:
+    the same table as ``banded``'s, of which a row of all pairs is held at a
+    time."""
+    long, wide = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    rows = np.arange(len(a))[:, None]
+    first, second = np.zeros((len(a), max(1, long.max())), np.uint32), np.zeros((len(a), max(1, wide.max())), np.uint32)
+    for i, (x, y) in enumerate(zip(a, b)):
+        first[i, : len(x)], second[i, : len(y)] = x, y
+    table, best = np.zeros((len(a), width + 2), np.int32), np.zeros(len(a), np.int32)
+    places = np.arange(width)
+    slope = (gap * places[::-1]).astype(np.int32)
+    for i in range(1, long.max() + 1):
+        j = i - (low[:, None] + places)
+        inside = (j >= 1) & (j <= wide[:, None]) & (i <= long[:, None])
+        equal = second[rows, np.clip(j - 1, 0, second.shape[1] - 1)] == first[:, i - 1, None]
+        row = np.where(inside, np.maximum(np.maximum(table[:, 1:-1] + np.where(equal, match, -mismatch), table[:, :-2] - gap), 0), 0).astype(np.int32)
+        run = np.maximum.accumulate((row + slope)[:, ::-1], axis=1)[:, ::-1] - slope
+        table[:, 1:-1] = np.where(inside, np.maximum(row, run), 0)
+        best = np.maximum(best, table.max(1))
+    return best
+
+
+#: Cells of all bands that are scored at a time.
+CELLS = 1 << 18
+
+
 def hits(queries: DataFrame, targets: DataFrame, query: str, target: str, sequence: str = "sequence", k: int = 8, band: int = 8, diagonals: int = 3, least: int = 20, match: int = 2, mismatch: int = 2, gap: int = 3) -> DataFrame:
     """(query, target, score, q_start, q_end, t_start, t_end, percent) of pairs
     that score ``least`` or more: the best local alignment of those in a band
@@ -93,14 +120,31 @@ def hits(queries: DataFrame, targets: DataFrame, query: str, target: str, sequen
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")
+        width = 3 * band + 1
         for batch in batches:
-            out = []
-            for x, y, near, q_text, t_text in batch.itertuples(index=False):
-                a, b = letters(q_text), letters(t_text)
-                found = max((banded(a, b, int(d) * band - band, int(d) * band + 2 * band, match, mismatch, gap) for d in near), key=lambda r: (r[0], [-v for v in r[1:5]]))
-                if found[0] >= least:
-                    out.append((x, y, *found[:5], 100.0 * found[5] / len(a)))
-            yield pd.DataFrame(out, columns=schema.names)
+            texts = [(letters(x), letters(y)) for x, y in zip(batch["q_text"], batch["t_text"])]
+            owner = np.repeat(np.arange(len(batch)), [len(d) for d in batch["diagonals"]])
+            low = np.concatenate([np.asarray(d, np.int64) for d in batch["diagonals"]]) * band - band if len(owner) else np.zeros(0, np.int64)
+            # Pairs of about one length together, as many as fit.
+            order = sorted(range(len(owner)), key=lambda i: max(len(x) for x in texts[owner[i]]))
+            scores, at = np.zeros(len(owner), np.int32), 0
+            while at < len(order):
+                n = 1
+                while at + n < len(order) and (n + 1) * max(width, len(texts[owner[order[at + n]]][0]), len(texts[owner[order[at + n]]][1])) <= CELLS:
+                    n += 1
+                own = order[at : at + n]
+                scores[own] = best_scores([texts[owner[i]][0] for i in own], [texts[owner[i]][1] for i in own], low[own], width, match, mismatch, gap)
+                at += n
+            top = np.zeros(len(batch), np.int32)
+            np.maximum.at(top, owner, scores)
+            # The way of an alignment is only followed where it is a hit.
+            found: dict[int, tuple] = {}
+            for i in np.flatnonzero((scores >= max(1, least)) & (scores == top[owner])).tolist():
+                one = banded(*texts[owner[i]], int(low[i]), int(low[i]) + width - 1, match, mismatch, gap)
+                key = lambda r: (r[0], [-v for v in r[1:5]])
+                found[owner[i]] = max(found.get(owner[i], one), one, key=key)
+            ids = list(zip(batch["q"], batch["t"]))
+            yield pd.DataFrame([(*ids[k], *r[:5], 100.0 * r[5] / len(texts[k][0])) for k, r in sorted(found.items())], columns=schema.names)
 
     return whole.mapInPandas(score, schema).withColumnsRenamed({"q": query, "t": target})
 

@@ -522,6 +522,15 @@ def test_banded_alignment_equals_the_whole_table():
             assert again[0] == score
 
 
+def test_many_bands_at_a_time():
+    rng = random.Random(17)
+    letters = lambda s: np.frombuffer(s.encode("utf-32-le"), "<u4")
+    pairs = [tuple("".join(rng.choice("AC") for _ in range(rng.randrange(0, 30))) for _ in range(2)) for _ in range(80)]
+    low = np.array([rng.randrange(-25, 25) for _ in pairs])
+    got = alignment.best_scores([letters(a) for a, _ in pairs], [letters(b) for _, b in pairs], low, 9, 2, 2, 3)
+    assert got.tolist() == [alignment.banded(letters(a), letters(b), int(d), int(d) + 8, 2, 2, 3)[0] if a else 0 for (a, b), d in zip(pairs, low)]
+
+
 def test_hits_of_a_stated_identity(spark):
     """Queries that are cuts of targets with few differences are all found with
     the score of aligning all pairs."""
