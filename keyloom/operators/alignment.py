@@ -15,13 +15,16 @@ identity) is found.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from keyloom.storage import materialize
+
 
 def _runs(df: DataFrame, key: str, sequence: str, k: int, prefix: str) -> DataFrame:
     """(run, <prefix>, <prefix>_at): each run of k letters with its place."""
@@ -30,15 +33,16 @@ def _runs(df: DataFrame, key: str, sequence: str, k: int, prefix: str) -> DataFr
     return placed.select(F.substr("_s", F.col("_p"), F.lit(k)).alias("run"), prefix, (F.col("_p") - 1).alias(f"{prefix}_at"))
 
 
-def candidates(queries: DataFrame, targets: DataFrame, query: str, target: str, sequence: str, k: int, band: int, diagonals: int) -> DataFrame:
+def candidates(queries: DataFrame, targets: DataFrame, query: str, target: str, sequence: str, k: int, band: int, diagonals: int, pairs: DataFrame | None = None) -> DataFrame:
     """(q, t, diagonals): pairs with the diagonals (a query's place minus the
     target's, in steps of the band) that have most shared runs. Runs are first
     counted where they repeat within a sequence's stretch of band places, so a
     run that fills a sequence meets another one's once for each pair of
-    stretches."""
+    stretches. ``pairs`` (q, t): only these."""
     stretch = lambda df, p: df.groupBy("run", p, F.floor(F.col(f"{p}_at") / band).alias(f"{p}_s")).agg(F.count(F.lit(1)).alias(f"{p}_n"), F.avg(f"{p}_at").alias(f"{p}_m"))
     a, b = stretch(_runs(queries, query, sequence, k, "q"), "q"), stretch(_runs(targets, target, sequence, k, "t"), "t")
-    met = a.join(b, "run").groupBy("q", "t", F.floor((F.col("q_m") - F.col("t_m")) / band).cast("long").alias("d")).agg(F.sum(F.least("q_n", "t_n")).alias("n"))
+    both = a.join(b, "run") if pairs is None else pairs.join(a, "q").join(b, ["t", "run"])
+    met = both.groupBy("q", "t", F.floor((F.col("q_m") - F.col("t_m")) / band).cast("long").alias("d")).agg(F.sum(F.least("q_n", "t_n")).alias("n"))
     ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy("q", "t").orderBy(F.desc("n"), "d"))).where(F.col("_r") <= diagonals)
     return ranked.groupBy("q", "t").agg(F.sort_array(F.collect_list("d")).alias("diagonals"))
 
@@ -113,6 +117,10 @@ def hits(queries: DataFrame, targets: DataFrame, query: str, target: str, sequen
     length. Ids are unique; rows whose id or sequence is null take no part, nor
     do sequences shorter than k."""
     pairs = candidates(queries, targets, query, target, sequence, k, band, diagonals)
+    return _scored(pairs, queries, targets, query, target, sequence, band, least, match, mismatch, gap)
+
+
+def _scored(pairs: DataFrame, queries: DataFrame, targets: DataFrame, query: str, target: str, sequence: str, band: int, least: int, match: int, mismatch: int, gap: int) -> DataFrame:
     q = queries.select(F.col(f"`{query}`").alias("q"), F.col(f"`{sequence}`").alias("q_text"))
     t = targets.select(F.col(f"`{target}`").alias("t"), F.col(f"`{sequence}`").alias("t_text"))
     whole = pairs.join(q, "q").join(t, "t").select("q", "t", "diagonals", "q_text", "t_text")
@@ -154,3 +162,43 @@ def best_hits(found: DataFrame, query: str, target: str) -> DataFrame:
     target."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), target)
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def _sure(length: Column, score: Column, match: int, mismatch: int, gap: int) -> Column:
+    """The run of equal letters that any alignment with at least that score has,
+    for a query of that length: e differences leave e + 1 runs, each costs the
+    less of a gap and a mismatch, and a mismatch takes a letter besides."""
+    cost = min(mismatch, gap)
+    most = F.floor((match * length - score) / min(match + mismatch, gap))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(most, F.lit(0)).cast("int")), lambda e: F.ceil(F.ceil((score + cost * e) / match) / (e + 1)))
+    return F.array_min(runs)
+
+
+def best(queries: DataFrame, targets: DataFrame, query: str, target: str, sequence: str = "sequence", k: int = 8, band: int = 8, diagonals: int = 3, least: int = 20, match: int = 2, mismatch: int = 2, gap: int = 3) -> DataFrame:
+    """``best_hits`` of ``hits``, without the hits that are not the best. Pairs
+    are first joined on runs of twice k letters, then of k and a half. A query is
+    done when every alignment as good as its best so far has such a run, so no
+    better or equal one is left out; only the others meet targets by runs of k.
+    The diagonals of a pair are those of its runs of k letters each time."""
+    own = queries.select(F.col(f"`{query}`").alias("q"), F.col(f"`{sequence}`").alias(sequence)).where(F.col("q").isNotNull() & (F.length(sequence) >= k))
+    left, found = materialize(own, "queries"), []
+    # A file with one row group is one task's; its runs are many rows.
+    targets = targets.select(target, sequence).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), target)
+    for seed in sorted({2 * k, 3 * k // 2, k}, reverse=True):
+        if left.isEmpty():
+            break
+        pairs = None
+        if seed > k:
+            run = lambda df, key, p: _runs(df, key, sequence, seed, p).select("run", p).distinct()  # noqa: B023, E731
+            pairs = materialize(run(left, "q", "q").join(run(targets, target, "t"), "run").select("q", "t").distinct(), "pairs")
+        near = targets if pairs is None else targets.join(pairs.select(F.col("t").alias(target)).distinct(), target, "left_semi")
+        placed = candidates(left, near, "q", target, sequence, k, band, diagonals, pairs)
+        scored = _scored(placed, left, near, "q", target, sequence, band, least, match, mismatch, gap)
+        top = materialize(best_hits(scored, "q", target), "best")
+        if seed == k:
+            found.append(top)
+            break
+        known = left.join(top.select("q", "score"), "q").where(_sure(F.length(sequence), F.col("score"), match, mismatch, gap) >= seed).select("q")
+        found.append(top.join(known, "q", "left_semi"))
+        left = materialize(left.join(known, "q", "left_anti"), "queries")
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("q", query) if found else hits(queries, targets, query, target, sequence, k, band, diagonals, least, match, mismatch, gap)

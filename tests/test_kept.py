@@ -634,3 +634,26 @@ def test_a_missing_list_loses_no_other(spark):
     assert rows(joins.attach(left, right).df) == [("l", ["m", "n", "none"], ["v1", "v2"])]
     index = spark.createDataFrame([("l", "m"), ("l", "n")], "k string, id string")
     assert rows(joins.attach(left, right, ["v"], index=index).df.select("k", "v")) == [("l", ["v1", "v2"])]
+
+
+# What holds at size -----------------------------------------------------------------------
+
+
+def test_best_hits_by_long_runs_first(spark):
+    """The same as the best of all hits, also for queries that only short runs
+    lead to; random runs of k letters are not paired for the others."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets = [letters(40) for _ in range(300)]
+    queries = []
+    for i in range(60):
+        own = list(targets[rng.randrange(300)])
+        for _ in range(i % 8):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[rng.choice("ACGT")], [], [own[at], rng.choice("ACGT")]])
+        queries.append("".join(own))
+    q = spark.createDataFrame([*enumerate(queries), (97, letters(30)), (98, "ACG"), (99, None)], "q_id long, sequence string")
+    t = spark.createDataFrame([*enumerate(targets), (300, targets[0]), (301, None)], "t_id long, sequence string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(alignment.best(q, t, "q_id", "t_id", least=18)) == rows(alignment.best_hits(alignment.hits(q, t, "q_id", "t_id", least=18), "q_id", "t_id"))
+    assert rows(alignment.best(q.where("q_id > 97"), t, "q_id", "t_id")) == []
