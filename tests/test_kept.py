@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -657,3 +658,19 @@ def test_best_hits_by_long_runs_first(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(alignment.best(q, t, "q_id", "t_id", least=18)) == rows(alignment.best_hits(alignment.hits(q, t, "q_id", "t_id", least=18), "q_id", "t_id"))
     assert rows(alignment.best(q.where("q_id > 97"), t, "q_id", "t_id")) == []
+
+
+def test_products_follow_entries(spark, monkeypatch):
+    """Entries spread over all blocks: block by block this would be 490,000
+    products of 256 by 256 numbers. And sums over several lists and flushes."""
+    n = 20_000
+    own = sparse.incidence(spark.range(n).select(F.col("id").alias("s"), (F.col("id") * 7919 % n).alias("t")), "s", "t")
+    began = time.monotonic()
+    assert {(r.source, r.target, r.value) for r in own.product(own.transposed()).long().collect()} == {(s, s, 1.0) for s in range(n)}
+    assert time.monotonic() - began < 120
+    monkeypatch.setattr(sparse, "LIST", 7)
+    monkeypatch.setattr(sparse, "PRODUCTS", 50)
+    hub = sparse.incidence(spark.range(300).select(F.col("id").alias("s"), (F.col("id") % 2).alias("t")), "s", "t")
+    assert {(r.source, r.target, r.value) for r in hub.product(hub.transposed()).long().collect()} == {(a, b, 1.0) for a in range(300) for b in range(a % 2, 300, 2)}
+    none = hub.product(sparse.incidence(spark.createDataFrame([], "s long, t long"), "s", "t", rows=hub.columns))
+    assert none.long().collect() == []
