@@ -68,12 +68,16 @@ def attach_source_key(a: KeyedFrame, b: KeyedFrame, source: str, fields: list[st
 
 
 def attach_index(a: KeyedFrame, b: KeyedFrame, index: DataFrame, fields: list[str]) -> KeyedFrame:
-    """``index``: (key of a, key of b), any number of each."""
-    pairs = index.toDF(a.key, "_k").distinct()
-    hits = pairs.join(b.df.select(F.col(b.key).alias("_k"), *fields), "_k")
-    found = hits.groupBy(a.key).agg(F.sort_array(F.collect_list(F.struct("_k", *fields))).alias("_h"))
+    """``index``: (key of a, key of b), any number of each. Keys of ``a`` with
+    the same keys of ``b`` share one list of hits, which is gathered once; only
+    keys are dealt out for each row."""
+    own = index.toDF(a.key, "_k").where("_k is not null").distinct().groupBy(a.key).agg(F.sort_array(F.collect_list("_k")).alias("_s"))
+    sets = own.groupBy("_s").agg(F.min(a.key).alias("_of"))
+    hits = sets.select("_of", F.explode("_s").alias("_k")).join(b.df.select(F.col(b.key).alias("_k"), *fields), "_k")
+    found = hits.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("_k", *fields))).alias("_h"))
     cell = lambda f: end_to_end(F.col("_h")[f]) if b.many else F.col("_h")[f]
-    rows = a.df.join(found.select(a.key, *(F.coalesce(cell(f), F.array()).alias(f) for f in fields)), a.key, "left").withColumns({f: F.coalesce(f, F.array()) for f in fields})
+    lists = sets.join(found, "_of").select("_s", *(F.coalesce(cell(f), F.array()).alias(f) for f in fields))
+    rows = a.df.join(own, a.key, "left").join(lists, "_s", "left").withColumns({f: F.coalesce(f, F.array()) for f in fields})
     return a.with_df(rows.select(a.key, *a.fields, *fields), fields=[*a.fields, *fields])
 
 
