@@ -125,6 +125,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _whole(held: DataFrame, by: str | None) -> DataFrame:
+    """One row for all rows goes to these; they aren't dealt out by one key."""
+    return F.broadcast(held) if by is None else held
+
+
 def predict(df: DataFrame, fits: DataFrame, by: str | None, xs: list[str], interval: str | None = None, level: float = 0.9) -> DataFrame:
     """Rows with ``fit``, and with an interval ("confidence" of the mean, or
     "prediction" of a further value) ``lower`` and ``upper`` at the level."""
@@ -135,7 +140,7 @@ def predict(df: DataFrame, fits: DataFrame, by: str | None, xs: list[str], inter
     if interval:
         held = held.withColumn("_t", quantile("freedom"))
     x = F.array(*(F.col(c).cast("double") for c in xs)).cast("array<double>")
-    rows = _grouped(df, by).join(held, F.col("_by").eqNullSafe(F.col("_own")), "left")
+    rows = _grouped(df, by).join(_whole(held, by), F.col("_by").eqNullSafe(F.col("_own")), "left")
     fit = F.col("intercept") + _dot(F.col("coefficients"), x)
     out = {"fit": fit}
     if interval:
@@ -206,13 +211,14 @@ def imputed(df: DataFrame, by: str | None, columns: list[str], rounds: int = 5)
     own = _grouped(df.withColumn("_row", F.struct("*")), by).select("_row", "_by", *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)))
     names = [f"_c{i}" for i in range(len(columns))]
     means = own.groupBy(F.col("_by").alias("_own")).agg(*(F.avg(c).alias(f"_m{c}") for c in names))
-    rows = own.join(means, F.col("_by").eqNullSafe(F.col("_own"))).select("_row", "_by", *names, *(F.coalesce(c, f"_m{c}", F.lit(0.0)).alias(f"_f{c}") for c in names), *(F.col(f"_m{c}").isNull().alias(f"_no{c}") for c in names))
+    rows = own.join(_whole(means, by), F.col("_by").eqNullSafe(F.col("_own"))).select("_row", "_by", *names, *(F.coalesce(c, f"_m{c}", F.lit(0.0)).alias(f"_f{c}") for c in names), *(F.col(f"_m{c}").isNull().alias(f"_no{c}") for c in names))
     state = materialize(rows, "imputed")
     for _ in range(rounds):
         turned = state
         for c in names:
             xs = [f"_f{o}" for o in names if o != c]
-            fits = linear(turned, "_by", c, xs)
-            turned = predict(turned, fits, "_by", xs).withColumn(f"_f{c}", F.coalesce(c, "fit", f"_f{c}")).drop("fit")
+            # Written, so that the next column's fits don't make it again.
+            fits = materialize(linear(turned, "_by", c, xs), "fits")
+            turned = predict(turned, _whole(fits, by), "_by", xs).withColumn(f"_f{c}", F.coalesce(c, "fit", f"_f{c}")).drop("fit")
         state = materialize(turned.select(*state.columns), "imputed", instead_of=state)
     return state.select("_row.*", *(F.when(~F.col(f"_no_c{i}"), F.col(f"_f_c{i}")).alias(f"{c}_filled") for i, c in enumerate(columns)))

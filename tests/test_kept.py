@@ -688,3 +688,20 @@ def test_index_lists_are_gathered_once(spark):
     got = {r.k: r.v for r in found.select("k", F.transform("v", lambda x: F.left(x, F.lit(1))).alias("v")).collect()}
     assert got == {k: [] if k == 9 else ["w", "x", "y"] if k == 3 else ["w", "x"] if k % 2 == 0 else ["y"] for k in range(n)}
     assert time.monotonic() - began < 60
+
+
+def test_one_group_is_not_dealt_by_its_key(spark, monkeypatch):
+    """Imputation without groups sorts no rows by a constant, and each column's
+    fit is made once."""
+    plans = []
+    keep = models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df, tag, **b: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or keep(df, tag, **b))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(60).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 2.0).alias("a"), (F.col("id") * 3.0).alias("b"))
+        got = models.imputed(df, None, ["a", "b"], 2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all(abs(r.a_filled - 2 * r.id) < 1e-6 and r.b_filled == 3 * r.id for r in got) and len(got) == 60
+    assert [tag for tag, _ in plans].count("fits") == 4 and not any("SortMergeJoin" in plan for _, plan in plans)
