@@ -47,14 +47,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) from edges (u, v): the smallest node of each one's
     component; of nodes that are a root themselves no row."""
     held = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    while True:
-        new = materialize(_stars(_stars(held, True), False), "stars")
-        # The stars are what they will be when a round changes nothing.
-        mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        same = mark(new) == mark(held)
-        held = new
-        if same:
-            return held.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while not _flat(held):
+        held = materialize(_stars(_stars(held, True), False), "stars", instead_of=held)
+    return held.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _flat(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: the components' stars."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 @dataclass(frozen=True)

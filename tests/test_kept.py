@@ -705,3 +705,14 @@ def test_one_group_is_not_dealt_by_its_key(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert all(abs(r.a_filled - 2 * r.id) < 1e-6 and r.b_filled == 3 * r.id for r in got) and len(got) == 60
     assert [tag for tag, _ in plans].count("fits") == 4 and not any("SortMergeJoin" in plan for _, plan in plans)
+
+
+def test_stars_need_no_further_round(spark, monkeypatch):
+    tags = []
+    keep = identifiers.materialize
+    monkeypatch.setattr(identifiers, "materialize", lambda df, tag, **b: tags.append(tag) or keep(df, tag, **b))
+    edges = lambda own: spark.createDataFrame(own, "u long, v long")
+    assert rows(identifiers.components(edges([(i, i % 2) for i in range(2, 9)]))) == [(i, i % 2) for i in range(2, 9)]
+    assert tags == ["stars"]
+    assert rows(identifiers.components(edges([(3, 3)]))) == []
+    assert rows(identifiers.components(edges([(5, 4), (4, 3), (3, 5), (9, 8), (8, 7), (7, 6)]))) == [(4, 3), (5, 3), (7, 6), (8, 6), (9, 6)]
