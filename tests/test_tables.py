@@ -95,6 +95,25 @@ def test_attach(spark):
     assert rows(joins.attach(a, b, ["w"], index=index).df.select("k", "w")) == [("a", ["q", "r"]), ("b", []), ("c", ["p"]), ("d", [])]
 
 
+def test_intervals_of_very_different_lengths(spark, monkeypatch):
+    """Short ones don't meet at the level of long ones, and a key with many
+    pairs is dealt over parts."""
+    shorts = [("g", 3 * i, 3 * i + 1) for i in range(300)]
+    long = [("g", i, 200_000 + i) for i in range(3)]
+    a = spark.createDataFrame(shorts, "g string, a_start long, a_end long")
+    b = spark.createDataFrame([*shorts, *long], "g string, b_start long, b_end long")
+    want = sorted((s, e, s2, e2) for _, s, e in shorts for _, s2, e2 in [*shorts, *long] if s <= e2 and s2 <= e)
+    for most in (intervals.PAIRS, 50):
+        monkeypatch.setattr(intervals, "PAIRS", most)
+        got = intervals.overlaps(a, b, ["g"], 4).select("a_start", "a_end", "b_start", "b_end")
+        assert sorted(tuple(r) for r in got.collect()) == want
+        met = intervals._meeting(a, b, ["g"], 4, None)
+        assert len(want) <= met.count() < 2 * len(want)
+        keys = ["g", "_level", "_bin", "_kind", "_part"]
+        assert met.groupBy(*keys).count().agg({"count": "max"}).first()[0] <= 2 * most
+    assert met.select("_part").distinct().count() > 3
+
+
 def test_intervals(spark):
     r = spark.createDataFrame([("g", 1, 5), ("g", 5, 9), ("g", 20, 30), ("h", 1, 1), ("g", 2, 3)], "g string, start long, end long")
     assert rows(intervals.collapse(r, ["g"])) == [("g", 1, 9), ("g", 20, 30), ("h", 1, 1)]
