@@ -70,7 +70,7 @@ def database(table: KeyedFrame, spec: Spec | None = None) -> DataFrame:
 def edges(df: DataFrame, source: str, target: str, info: list[str] = (), order: list[str] | None = None, sep: str = ";;") -> DataFrame:
     """One row for each pair; info of repeated pairs is joined."""
     rows = df.where(F.col(source).isNotNull() & F.col(target).isNotNull())
-    own = rows.groupBy(F.col(source).alias("source"), F.col(target).alias("target"))
+    own = _by_ends(rows, source, target).groupBy(F.col(source).alias("source"), F.col(target).alias("target"))
     if not info:
         return own.agg(F.lit(1).alias("_")).drop("_")
     turn = F.struct(*(order or info)).alias("o")
@@ -96,7 +96,17 @@ def reverse(e: DataFrame) -> DataFrame:
 
 def undirected(e: DataFrame) -> DataFrame:
     """Both directions of each edge, once; loops once."""
-    return e.unionByName(reverse(e).where("source <> target")).dropDuplicates(["source", "target"])
+    ends = [F.struct(F.col(a).alias("source"), F.col(b).alias("target")) for a, b in (("source", "target"), ("target", "source"))]
+    both = e.withColumn("_ends", F.explode(F.when(F.col("source") != F.col("target"), F.array(*ends)).otherwise(F.array(ends[0]))))
+    both = both.select(*(F.col("_ends")[c].alias(c) if c in ("source", "target") else F.col(c) for c in e.columns))
+    return _by_ends(both, "source", "target").dropDuplicates(["source", "target"])
+
+
+def _by_ends(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """Dealt by both ends before they are grouped, over all partitions: pairs
+    are hardly ever repeated, so groups made before the shuffle, or in the few
+    partitions that small rows are put into, only fill a task's memory."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), source, target)
 
 
 def between(e: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None, once: bool = False) -> DataFrame:

@@ -95,6 +95,21 @@ def test_attach(spark):
     assert rows(joins.attach(a, b, ["w"], index=index).df.select("k", "w")) == [("a", ["q", "r"]), ("b", []), ("c", ["p"]), ("d", [])]
 
 
+def test_undirected(spark):
+    """Each direction once, and the edges are made once and spread over all
+    partitions, however few bytes they have."""
+    rows = [(1, 2, "a"), (2, 1, "b"), (3, 3, "c"), (4, 5, "d"), (None, 7, "e")]
+    e = spark.createDataFrame(rows, "source int, target long, info string")
+    out = assoc.undirected(e)
+    assert out.columns == e.columns
+    got = {(r.source, r.target): r.info for r in out.collect()}
+    assert set(got) == {(1, 2), (2, 1), (3, 3), (4, 5), (5, 4), (None, 7)} and out.count() == 6
+    assert got[1, 2] in "ab" and got[2, 1] in "ab" and got[5, 4] == "d"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_intervals_of_very_different_lengths(spark, monkeypatch):
     """Short ones don't meet at the level of long ones, and a key with many
     pairs is dealt over parts."""
