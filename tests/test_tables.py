@@ -129,6 +129,15 @@ def test_intervals_of_very_different_lengths(spark, monkeypatch):
     assert met.select("_part").distinct().count() > 3
 
 
+def test_points_of_one_task_are_spread(spark):
+    """The pairs of points that one task reads are made in several."""
+    points = spark.range(0, 2000, 1, 1).select(F.col("id").alias("pos"))
+    ranges = points.select(F.col("pos").alias("b_start"), (F.col("pos") + 9).alias("b_end"))
+    hit = intervals.points_in(points, ranges, [], 4, longest=9)
+    assert hit.count() == sum(min(10, p + 1) for p in range(2000))
+    assert hit.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_intervals(spark):
     r = spark.createDataFrame([("g", 1, 5), ("g", 5, 9), ("g", 20, 30), ("h", 1, 1), ("g", 2, 3)], "g string, start long, end long")
     assert rows(intervals.collapse(r, ["g"])) == [("g", 1, 9), ("g", 20, 30), ("h", 1, 1)]
