@@ -98,6 +98,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, out, total
 
 
+def features_by_parts(words: list[str], part: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of many words, with room for the hashes of a part at a time."""
+    found = [features(words[:part])]
+    for at in range(part, len(words), part):
+        # The word before, so that the part's first one has a blank before it.
+        rows, grams, many = features(words[at - 1 : at + part])
+        found.append((rows[1:], grams[many[0] :], many[1:]))
+    rows, grams, many = (np.concatenate(x) for x in zip(*found))
+    return rows, grams, many
+
+
 @dataclass
 class Network:
     """Parameters. ``words`` and ``grams`` are the input vectors; ``into``
@@ -240,9 +251,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     for t in texts:
         block = Block([t], LOWER)
         text = block.text()
-        docs.append([order.setdefault(text[a:b], len(order)) + 1 for a, b in zip(*(x.tolist() for x in spans(block)))])
-    rows, grams, many = features(list(order))
-    known = np.bincount([w - 1 for d in docs for w in set(d)], minlength=len(order)) >= MIN_TEXTS
+        # As an array: a list would keep a Python number for each word of all texts in the driver.
+        docs.append(np.array([order.setdefault(text[a:b], len(order)) + 1 for a, b in zip(*(x.tolist() for x in spans(block)))], np.int32))
+    rows, grams, many = features_by_parts(list(order))
+    known = sum((np.bincount(np.unique(d) - 1, minlength=len(order)) for d in docs), np.zeros(len(order), np.int64)) >= MIN_TEXTS
     rows = np.where(known, rows, WORDS)  # a row that stays zero
     places = np.cumsum(many) - many
     net, r = Network.start(seed), np.random.default_rng(seed)
@@ -252,11 +264,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     for _ in range(passes):
         turn = r.permutation(len(docs))
         for at in range(0, len(turn), BATCH):
-            picked = [i for i in turn[at : at + BATCH].tolist() if docs[i]]
+            picked = [i for i in turn[at : at + BATCH].tolist() if len(docs[i])]
             if not picked:
                 continue
             counts = np.array([len(docs[i]) for i in picked])
-            own, ids = np.unique(np.array([w for i in picked for w in docs[i]]), return_inverse=True)
+            own, ids = np.unique(np.concatenate([docs[i] for i in picked]), return_inverse=True)
             n = many[own - 1]
             flat = grams[runs(places[own - 1], n)]
             inputs = np.concatenate((np.zeros((1, 2 * SIZE), np.float32), net.inputs(rows[own - 1], flat, n)))

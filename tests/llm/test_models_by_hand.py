@@ -241,3 +241,25 @@ def test_scores_ignore_what_they_should(spark, net):
     assert got[0] == got[1]
     model = language_id.fit(rows.withColumn("text", F.lit("x y z")), "doc_id", "text", "lang", F.lit(True))
     assert model.languages == ["de", "en"]
+
+
+def test_learned_texts_take_few_bytes_a_word(monkeypatch):
+    """The driver trains: a million words are held as numbers of four bytes."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    monkeypatch.setattr(toxicity, "STEPS", 0)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, 1000)) for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [k % 2 for k in range(1000)])
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_features_by_parts():
+    words = [f"w{i * i}é" for i in range(50)]
+    for part in (1, 7, 50, 60):
+        assert all(np.array_equal(a, b) for a, b in zip(toxicity.features(words), toxicity.features_by_parts(words, part)))
