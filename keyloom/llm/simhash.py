@@ -55,7 +55,11 @@ def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str, words: int = SHINGLE) -> int:
     """The fingerprint of one text, as an unsigned number."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Of hashes as eight bytes each: the bits that over half of them have."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -110,6 +114,40 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def met(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes (``node``, ``n``, ``fp``) whose fingerprints differ
+    in at most ``bits`` bits, with their ``n_a`` and ``n_b``; some occur twice.
+
+    The ring has ``bits + 1`` segments, so a chain's first link is equal, its
+    second differs in one bit at most and its third brings that to two: a node
+    asks for one head a turn, and that with each bit of its second segment
+    flipped. It meets one node of each head, so no dense cluster is paired in
+    full; what only another node of that head is near to isn't found here."""
+    m = bits + 1
+    if not 4 <= m <= 16:
+        raise ValueError("budgets of 3 to 15 bits are enumerated")
+    widths = [64 // m + (i < 64 % m) for i in range(m)]
+    heads, asked, thirds = [], [], []
+    for s in range(m):
+        first, second, third = (widths[(s + i) % m] for i in range(3))
+        at = sum(widths[:s])
+        turned = F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) if at else F.col("fp")
+        head = F.shiftrightunsigned(turned, 64 - first - second).bitwiseOR(F.lit(s << 58))
+        heads.append(head)
+        asked += [head, *(head.bitwiseXOR(F.lit(1 << i)) for i in range(second))]
+        ones = sum(1 << (63 - (at + i) % 64) for i in range(first + second + third))
+        thirds.append(F.lit(ones - (ones >> 63 << 64)))
+    order = F.struct(F.xxhash64("fp", "head").alias("h"), "fp", "node", "n")
+    centres = nodes.select("fp", "node", "n", F.explode(F.array(*heads)).alias("head")).groupBy("head").agg(F.min(order).alias("c"))
+    asking = nodes.select("fp", F.explode(F.array(*asked)).alias("head")).withColumnRenamed("fp", "fp_a")
+    apart = F.col("fp_a").bitwiseXOR(F.col("c.fp"))
+    third = F.element_at(F.array(*thirds), (F.shiftrightunsigned("head", 58) + 1).cast("int"))
+    near = (F.bit_count(apart) <= bits) & (F.bit_count(apart.bitwiseAND(third)) <= 2)
+    pairs = asking.join(centres, "head").where(near).select("fp_a", F.col("c.node").alias("b"), F.col("c.n").alias("n_b")).distinct()
+    # A fingerprint that several nodes share has asked for all of them.
+    return pairs.join(nodes.select(F.col("fp").alias("fp_a"), F.col("node").alias("a"), F.col("n").alias("n_a")), "fp_a").where("a <> b").select("a", "n_a", "b", "n_b")
+
+
 def linked(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """(node, root) of the nodes that have a link, without all pairs of a dense
     cluster: first each node is held against one of those that share its head,
@@ -186,11 +224,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without all but the first (by key) of each group of near
-    copies by Jaccard similarity. A key may stand on several texts: each is
-    kept or dropped by itself. Rows with a null key stay."""
+    copies: candidates by SimHash and, for those too far apart in bits, by
+    MinHash, all of them compared by Jaccard similarity. A key may stand on
+    several texts: each is kept or dropped by itself. Rows with a null key stay."""
     from keyloom.llm import near_copies
 
-    groups = near_copies.groups(df.where(F.col(key).isNotNull()), key, text)
+    # Used three times; it would be joined anew each time.
+    groups = materialize(near_copies.groups(df.where(F.col(key).isNotNull()), key, text), "groups")
     copies = groups.where((F.col("component_id") != F.col(key)) | (F.col("first_row") != F.col("row"))).select(F.col(key).alias("_of"), F.col("row").alias("_is"))
     out = df.join(copies, (F.col(key) == F.col("_of")) & (F.xxhash64(text) == F.col("_is")), "left_anti")
     repeated = groups.groupBy(key, "row").count().where("count > 1").limit(1).count()

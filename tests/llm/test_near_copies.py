@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import near_copies, simhash
@@ -116,3 +117,35 @@ def test_one_id_on_two_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = sorted((r.doc_id, (r.text or "").lower()) for r in simhash.one_of_each(df).collect())
     assert left == [(1, one), (5, two), (6, three), (7, "")]
+
+
+def test_met_along_chains(spark):
+    """All pairs of alone standing fingerprints within the bits, no other; the
+    pipeline takes its candidates from them."""
+    rng = np.random.default_rng(11)
+    prints = []
+    for _ in range(300):  # each with one other, up to seven bits away
+        a = int(rng.integers(0, 2**64, dtype=np.uint64))
+        prints += [a, a ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 8)), replace=False))]
+    rows = [(f"{k:03}", 9, int(np.uint64(p).view(np.int64))) for k, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node string, n int, fp long")
+    for bits in (3, near_copies.BITS, 5):
+        got = {tuple(sorted((int(r.a), int(r.b)))) for r in simhash.met(nodes, bits).collect()}
+        want = {(k, k + 1) for k in range(0, 600, 2) if (prints[k] ^ prints[k + 1]).bit_count() <= bits}
+        assert len(want) > 100 and got == want
+
+
+def test_simhash_finds_what_bands_miss(spark):
+    """Without any band, texts within the bits are found along the chains."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (5, 1500, 2900)]
+    df = spark.createDataFrame([*enumerate(texts), (3, " ".join(f"y{i}" for i in range(3000)))], "doc_id long, text string")
+    signed = near_copies.signatures(df, "doc_id", "text").withColumn("bands", F.expr("array_repeat(0L, 0)"))
+    found = {r.node: r.root for r in near_copies.roots(signed, df, "doc_id", "text").collect()}
+    held = {r.doc_id: found.get(r.node) for r in signed.collect()}
+    assert held[0] and held[0] == held[1] == held[2] and held[3] is None
+
+
+def test_fingerprint_is_of_the_set():
+    text = " ".join(f"w{i}" for i in range(80))
+    assert simhash.majority(near_copies.shingle_set(text).astype(">u8").view(np.uint8).reshape(-1, 8)) == simhash.fingerprint(text, near_copies.WORDS)
