@@ -23,7 +23,7 @@ score is 0; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,10 +141,18 @@ class Network:
             sums[full] = np.add.reduceat(self.grams[grams], (np.cumsum(many) - many)[full], axis=0)
         return np.concatenate((self.words[rows], sums / np.maximum(many, 1)[:, None].astype(np.float32)), axis=1)
 
+    def encode_inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's input, for the word table."""
+        x = self.inputs(*features_by_parts(words))
+        return x.ravel(), np.full(len(words), x.shape[1])
+
+    def gates(self, inputs: np.ndarray) -> np.ndarray:
+        """What inputs give to both directions' gates."""
+        return np.concatenate([inputs @ self.into[d] + self.into_bias[d] for d in (0, 1)], axis=1)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's input to both directions' gates, for the word table."""
-        x = self.inputs(*features(words))
-        gates = np.concatenate([x @ self.into[d] + self.into_bias[d] for d in (0, 1)], axis=1)
+        """What each word gives to both directions' gates."""
+        gates = self.gates(self.inputs(*features(words)))
         return gates.ravel(), np.full(len(words), gates.shape[1])
 
     def states(self, gates: np.ndarray, ids: np.ndarray, trace: list | None = None) -> np.ndarray:
@@ -183,7 +191,7 @@ class Network:
     def gradients(self, inputs: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         """Of the windows' cross-entropy; ``inputs`` row 0 stands for no
         word."""
-        gates = np.concatenate([inputs @ self.into[d] + self.into_bias[d] for d in (0, 1)], axis=1)
+        gates = self.gates(inputs)
         trace: list = []
         states = self.states(gates, ids, trace)
         u, a, pooled = self.pooled(states, ids)
@@ -272,7 +280,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
             n = many[own - 1]
             flat = grams[runs(places[own - 1], n)]
             inputs = np.concatenate((np.zeros((1, 2 * SIZE), np.float32), net.inputs(rows[own - 1], flat, n)))
-            gates = np.concatenate([inputs @ net.into[d] + net.into_bias[d] for d in (0, 1)], axis=1)
+            gates = net.gates(inputs)
             starts, owner = windows(counts)
             every = window_ids(ids + 1, starts, np.cumsum(counts)[owner])
             scores = net.logits(gates, every)
@@ -307,14 +315,17 @@ def _adam(p: np.ndarray, moments: tuple[np.ndarray, np.ndarray], step: int, rate
 
 
 class Scorer:
-    """Scores of whole texts, by a table of the words' gate inputs."""
+    """Scores of whole texts, by a table of the words' inputs. The gates are
+    made of a block's words: they are three times as large as the inputs."""
 
-    WIDTH = 6 * HIDDEN
+    WIDTH = 2 * SIZE
     TOGETHER = 1024
+    #: Characters of a block, and bytes of the table, about: a task holds a few times as much.
+    CHARS, TABLE = 400_000, 32 << 20
 
     def __init__(self, net: Network):
         self.net = net
-        self.cache = WordCache(net.encode_words, np.float32, bits=18, most=96 << 20)
+        self.cache = WordCache(net.encode_inputs, np.float32, bits=18, most=self.TABLE)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         block = Block(texts, LOWER)
@@ -323,9 +334,10 @@ class Scorer:
         if not len(starts):
             return out
         offsets, _ = self.cache.lookup(block, starts, ends)
-        gates = self.cache.pool[: self.cache.used].reshape(-1, self.WIDTH)
+        inputs = self.cache.pool[: self.cache.used].reshape(-1, self.WIDTH)
         own, ids = np.unique(offsets // self.WIDTH, return_inverse=True)
-        table = np.concatenate((np.zeros((1, self.WIDTH), np.float32), gates[own]))
+        gates = self.net.gates(inputs[own])
+        table = np.concatenate((np.zeros((1, gates.shape[1]), np.float32), gates))
         counts = block.counts(starts)
         firsts, owner = windows(counts)
         until = np.cumsum(counts)[owner]
@@ -345,19 +357,38 @@ def learned_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label:
     return [r[0] for r in rows], [int(r[1]) for r in rows]
 
 
+#: Rows that are scored, and go back to Spark, at a time.
+ROWS = 512
+
+
+def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS``: of a batch no second copy is made."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _scores(net: Network | None) -> Callable[[pa.Array], np.ndarray]:
+    """The function that scores a column of texts, in one task."""
+    own = Scorer(net) if net else None
+
+    def run(texts: pa.Array) -> np.ndarray:
+        if own is None:
+            return np.zeros(len(texts))
+        return np.concatenate([own.scores([r[0] or "" for r in held]) for held in blocks(zip(texts.to_pylist()), lambda r: r[0] or "", Scorer.CHARS)])
+
+    return run
+
+
 def score(df: DataFrame, net: Network | None, text: str, keep: list[str]) -> DataFrame:
     """``keep``, score and predicted."""
     shared = df.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(shared.value) if shared.value else None
-        for batch in batches:
-            at = 0
-            for held in blocks(zip(batch.column(0).to_pylist()), lambda r: r[0] or "", 1_000_000):
-                n = len(held)
-                got = own.scores([r[0] or "" for r in held]) if own else np.zeros(n)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns[1:]), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
-                at += n
+        scores = _scores(shared.value)
+        for batch in _held(batches):
+            got = scores(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
 
     return df.select(text, *keep).mapInArrow(run, schema_with(df, keep, "score double, predicted int"))
 
@@ -369,10 +400,8 @@ def clean(df: DataFrame, net: Network | None, text: str, threshold: float = 0.5)
     place = df.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(shared.value) if shared.value else None
-        for batch in batches:
-            texts = batch.column(place).to_pylist()
-            got = [own.scores([r[0] or "" for r in held]) if own else np.zeros(len(held)) for held in blocks(zip(texts), lambda r: r[0] or "", 1_000_000)]
-            yield batch.filter(pa.array(np.concatenate(got) < threshold)) if got else batch
+        scores = _scores(shared.value)
+        for batch in _held(batches):
+            yield batch.filter(pa.array(scores(batch.column(place)) < threshold))
 
     return df.mapInArrow(run, df.schema)

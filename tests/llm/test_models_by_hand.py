@@ -263,3 +263,24 @@ def test_features_by_parts():
     words = [f"w{i * i}é" for i in range(50)]
     for part in (1, 7, 50, 60):
         assert all(np.array_equal(a, b) for a, b in zip(toxicity.features(words), toxicity.features_by_parts(words, part)))
+
+
+def test_scoring_takes_little_memory(spark, net):
+    """A task scores 160,000 distinct words, and hands rows on in parts."""
+    import tracemalloc
+
+    from keyloom.llm.vectext import blocks
+
+    texts = [(" ".join(f"w{k}x" for k in range(at, at + 4000)),) for at in range(0, 160_000, 4000)]
+    tracemalloc.start()
+    try:
+        own = toxicity.Scorer(net)
+        for held in blocks(texts, lambda r: r[0], getattr(toxicity.Scorer, "CHARS", 1_000_000)):
+            own.scores([r[0] for r in held])
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+    rows = spark.range(0, 1500, 1, 1).select("id", F.format_string("text %d", "id").alias("text"))
+    one = toxicity.clean(rows, net, "text", 2.0)
+    assert sorted(tuple(r) for r in one.collect()) == [(i, f"text {i}") for i in range(1500)]
+    assert sorted(r.id for r in toxicity.score(rows, net, "text", ["id"]).collect()) == list(range(1500))
