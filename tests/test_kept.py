@@ -676,6 +676,29 @@ def test_products_follow_entries(spark, monkeypatch):
     assert none.long().collect() == []
 
 
+def test_products_are_not_dealt_out(spark, monkeypatch):
+    """3000 columns of 40 rows each: 4,800,000 products of 240,000 entries."""
+    monkeypatch.setattr(sparse, "PRODUCTS", 1 << 17)
+    pairs = spark.range(120_000).select((F.col("id") % 3000).alias("t"), F.pmod(F.xxhash64("id"), F.lit(400)).alias("s"))
+    own = sparse.incidence(pairs, "s", "t")
+
+    def written():
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    began = written()
+    got = {(r.source, r.target): r.value for r in own.product(own.transposed()).long().collect()}
+    assert written() - began < 8e6
+    by_column, want = defaultdict(set), defaultdict(int)
+    for r in pairs.collect():
+        by_column[r.t].add(r.s)
+    for rows in by_column.values():
+        for a in rows:
+            for b in rows:
+                want[a, b] += 1
+    assert got == want
+
+
 def test_index_lists_are_gathered_once(spark):
     """Keys with the same other keys share one list. Each of 20,000 keys has the
     same list of 200,000 letters here: gathered for each they are 4 GB of shuffle."""
